@@ -1,2 +1,186 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries over the test tables, each with SQL of the same rows.
+
+Names follow the operators; ext_ marks what goes beyond them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taskmill import functions as X
+from taskmill import operators as O
+from taskmill import sources as S
+from taskmill import streaming
+
+_all: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _all[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def queries() -> dict:
+    return dict(_all)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def tasks(df: DataFrame, key: str, flag=None) -> DataFrame:
+    """A task relation of any table: its key column, and a flag expression."""
+    return df.select(X.key_or_unknown(F.col(key)).alias("db_key"), (F.lit(False) if flag is None else flag).alias("has_colloquial"))
+
+
+@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS db_key, count(*) AS n FROM documents GROUP BY 1")
+def group_count(spark, d):
+    return O.group_count(tasks(table(spark, d, "documents"), "lang"))
+
+
+@query("SELECT doc_id, coalesce(nullif(lang, ''), 'unknown') AS db_key FROM documents")
+def key_default(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.key_or_unknown(F.col("lang")).alias("db_key"))
+
+
+@query("SELECT coalesce(nullif(quality::VARCHAR, ''), 'unknown') AS db_key, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def key_default_null(spark, d):
+    both = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return O.group_count(tasks(both, "quality"))
+
+
+@query("SELECT coalesce(sum(CASE WHEN quality <> 0 THEN 1 ELSE 0 END), 0)::BIGINT AS n FROM labels")
+def truthy_count(spark, d):
+    return table(spark, d, "labels").agg(F.count_if(X.truthy_number(F.col("quality"))).alias("n"))
+
+
+@query("SELECT count(DISTINCT source) AS n_keys, string_agg(DISTINCT source, ',' ORDER BY source) AS keys FROM documents")
+def sorted_distinct(spark, d):
+    one = O.summarise(tasks(table(spark, d, "documents"), "source"))
+    return one.select(F.col("database_count").alias("n_keys"), F.array_join("databases", ",").alias("keys"))
+
+
+@query("SELECT count(*) > 0 AND min(n) = 5 AND max(n) = 5 AS uniform FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
+def uniform_groups_true(spark, d):
+    return O.is_uniform(O.group_count(table(spark, d, "nation"), "n_regionkey"), 5)
+
+
+@query("SELECT count(*) > 0 AND min(n) = 2 AND max(n) = 2 AS uniform FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)")
+def uniform_groups_false(spark, d):
+    return O.is_uniform(O.group_count(table(spark, d, "conversations"), "conv_id"), 2)
+
+
+@query("""SELECT sum(n)::BIGINT AS task_count, count(*) AS database_count, sum(f)::BIGINT AS robustness_task_count, min(n) = 110 AND max(n) = 110 AS balanced_110
+FROM (SELECT source, count(*) AS n, sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS f FROM documents GROUP BY 1)""")
+def dataset_summary(spark, d):
+    one = O.summarise(tasks(table(spark, d, "documents"), "source", X.truthy_text(F.col("text"))))
+    return one.select("task_count", "database_count", "robustness_task_count", "balanced_110")
+
+
+@query("SELECT ((SELECT count(*) FROM events) * (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark))::BIGINT AS planned_tasks")
+def planned_workload(spark, d):
+    return O.planned_workload(table(spark, d, "events"), table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("SELECT 10 * 2 * count(*) AS planned_tasks FROM documents")
+def planned_workload_all(spark, d):
+    return O.planned_workload(S.methods(spark), S.tracks(spark), table(spark, d, "documents"))
+
+
+@query("SELECT count(DISTINCT event_type) AS database_count, count(*) AS collection_count FROM events WHERE event_type NOT IN ('click', 'view')")
+def exclusion_filter(spark, d):
+    return O.inventory_summary(table(spark, d, "events").select(F.col("event_type").alias("db"), F.col("event_id").cast("string").alias("collection")), ("click", "view")).select("database_count", "collection_count")
+
+
+@query("SELECT event_id, coalesce(substr(event_type, 1, 3), 'Not connected') AS short FROM events")
+def prefix_slice(spark, d):
+    return table(spark, d, "events").select("event_id", X.short_commit(F.col("event_type"), 3).alias("short"))
+
+
+@query("SELECT doc_id, CASE WHEN quality <> 0 AND toxic <> 0 AND (SELECT count(*) > 0 FROM benchmark) THEN 'ready' ELSE 'degraded' END AS status FROM labels")
+def readiness(spark, d):
+    there = table(spark, d, "benchmark").agg((F.count(F.lit(1)) > 0).alias("there"))
+    flags = table(spark, d, "labels").crossJoin(there)  # one row
+    return flags.select("doc_id", X.is_ready(X.truthy_number(F.col("quality")), X.truthy_number(F.col("toxic")), F.col("there")).alias("status"))
+
+
+@query("SELECT list(n_name ORDER BY n_nationkey) = list(n_name ORDER BY n_name DESC) AS matches FROM nation")
+def sequence_equality(spark, d):
+    n = table(spark, d, "nation")
+    last = n.select((-F.col("n_nationkey")).alias("ord"), F.col("n_name").alias("id"))
+    return O.matches_in_order(n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("id")), last)
+
+
+@query("SELECT event_id, (props->>'$.k') AS k FROM events")
+def json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT event_id, (props->>'$.k') AS k FROM events")
+def json_variant(spark, d):
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+
+
+@query("SELECT doc_id AS ord, source AS id FROM documents WHERE source = 'src1'")
+def filter_project(spark, d):
+    m = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("id"), F.col("source").alias("family"))
+    return O.ids_of_family(m, "src1")
+
+
+@query("SELECT count(*) AS collection_count FROM nation")
+def sum_of_counts(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("db"), F.col("n_name").alias("collection"))
+    return O.inventory_summary(n).select("collection_count")
+
+
+@query("SELECT source AS db_key, count(*) AS n FROM documents GROUP BY 1")
+def group_count_sorted(spark, d):
+    return O.group_count(tasks(table(spark, d, "documents"), "source")).orderBy("db_key")
+
+
+@query("SELECT DISTINCT event_type AS db FROM events")
+def distinct_names(spark, d):
+    return table(spark, d, "events").select(F.col("event_type").alias("db")).distinct().orderBy("db")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def membership(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT r_regionkey, CASE WHEN r_name = 'ASIA' THEN 'EUROPE' ELSE 'ASIA,EUROPE,' || r_name END AS picked FROM region WHERE r_name <> 'EUROPE'")
+def toggle(spark, d):
+    r = table(spark, d, "region").filter("r_name <> 'EUROPE'")
+    return r.select("r_regionkey", F.array_join(X.toggled(F.array(F.lit("ASIA"), F.lit("EUROPE")), F.col("r_name")), ",").alias("picked"))
+
+
+@query("SELECT o_orderkey, format('{:,}', o_custkey) AS shown FROM orders")
+def thousands(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.thousands(F.col("o_custkey")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'sag' THEN 'SAG' ELSE 'BASE' END AS label FROM documents")
+def label_case(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.family_label(F.col("lang")).alias("label"))
+
+
+@query("SELECT o_orderstatus AS method, o_orderpriority AS track, count(*) AS n, avg(o_totalprice) AS avg_o_totalprice FROM orders GROUP BY 1, 2")
+def ext_result_rollup(spark, d):
+    o = table(spark, d, "orders").withColumnsRenamed({"o_orderstatus": "method", "o_orderpriority": "track"})
+    return O.result_rollup(o, ("method", "track"), ("o_totalprice",))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def ext_progress(spark, d):
+    return streaming.progress(table(spark, d, "events"))
