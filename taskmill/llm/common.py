@@ -202,6 +202,7 @@ class Encoder:
         self.size = self.model.get_vocab_size()
         self.after: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes | None] = {}
         self.most = most
 
     def _learn(self, memory: dict, new: list[str], lead: str, whole: bool = False) -> None:
@@ -212,17 +213,32 @@ class Encoder:
                 odd = not whole and (not p or p[-1].isspace() or bool(lead) and p[0].isspace())
                 memory[p] = None if odd else np.array(e.ids, "<u4").tobytes()
 
+    def _learn_after(self, new: list[str]) -> None:
+        """Learn pieces; a Latin word and the marks behind it are two pieces of their own."""
+        plain, split = [], []
+        for p in new:
+            word = p.rstrip(".,;:!?")
+            if len(word) < len(p) and word.isalpha() and max(word) < "\u0250":
+                split.append((p, word, p[len(word) :]))
+            else:
+                plain.append(p)
+        words = dict.fromkeys(plain) | {w: None for _, w, _ in split if w not in self.after}
+        self._learn(self.after, list(words), " ")
+        self._learn(self.marks, [m for m in dict.fromkeys(m for *_, m in split) if m not in self.marks], "", True)
+        for p, word, m in split:
+            self.after[p] = self.after[word] + self.marks[m]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         import re
 
         after, first = self.after, self.first
-        for memory in (after, first):
+        for memory in (after, first, self.marks):
             if len(memory) > self.most:
                 memory.clear()
         cut = [x.split(" ") for x in texts]
         self._learn(first, [p for p in dict.fromkeys(c[0] for c in cut) if p not in first], "")
-        self._learn(after, [p for p in dict.fromkeys(p for c in cut for p in c[1:]) if p not in after], " ")
+        self._learn_after([p for p in dict.fromkeys(p for c in cut for p in c[1:]) if p not in after])
         out = []
         for text, c in zip(texts, cut, strict=True):
             try:
