@@ -204,13 +204,32 @@ class Encoder:
         self.first: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes | None] = {}
         self.most = most
-
-    def _learn(self, memory: dict, new: list[str], lead: str, whole: bool = False) -> None:
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[i for t, i in self.model.get_vocab().items() if t[:1] == "\u0120"]] = True  # a space
+
+    def _learn_run(self, memory: dict, new: list[str]) -> None:
+        """Learn pieces that follow a space, many in one text: a space begins each."""
+        odd = [p for p in new if not p or p[-1].isspace() or p[0].isspace()]
+        memory.update(dict.fromkeys(odd))
+        fit = [p for p in new if p not in memory]
+        runs = [fit[i : i + 500] for i in range(0, len(fit), 500)]
+        for lo in range(0, len(runs), 8):
+            part = runs[lo : lo + 8]
+            for run, e in zip(part, self.model.encode_batch_fast([" " + " ".join(r) for r in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
+                if len(at) != len(run) + 1:
+                    raise RuntimeError("the tokenizer does not begin a piece at each space")
+                raw = ids.tobytes()
+                for p, a, b in zip(run, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    memory[p] = raw[a:b]
+
+    def _learn(self, memory: dict, new: list[str], whole: bool = False) -> None:
         for lo in range(0, len(new), 2000):
             part = new[lo : lo + 2000]
-            for p, e in zip(part, self.model.encode_batch_fast([lead + x for x in part], add_special_tokens=False), strict=True):
+            for p, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 # A piece next to more white space isn't cut where the pre-tokenizer cuts.
-                odd = not whole and (not p or p[-1].isspace() or bool(lead) and p[0].isspace())
+                odd = not whole and (not p or p[-1].isspace())
                 memory[p] = None if odd else np.array(e.ids, "<u4").tobytes()
 
     def _learn_after(self, new: list[str]) -> None:
@@ -223,8 +242,8 @@ class Encoder:
             else:
                 plain.append(p)
         words = dict.fromkeys(plain) | {w: None for _, w, _ in split if w not in self.after}
-        self._learn(self.after, list(words), " ")
-        self._learn(self.marks, [m for m in dict.fromkeys(m for *_, m in split) if m not in self.marks], "", True)
+        self._learn_run(self.after, list(words))
+        self._learn(self.marks, [m for m in dict.fromkeys(m for *_, m in split) if m not in self.marks], True)
         for p, word, m in split:
             self.after[p] = self.after[word] + self.marks[m]
 
@@ -237,7 +256,7 @@ class Encoder:
             if len(memory) > self.most:
                 memory.clear()
         cut = [x.split(" ") for x in texts]
-        self._learn(first, [p for p in dict.fromkeys(c[0] for c in cut) if p not in first], "")
+        self._learn(first, [p for p in dict.fromkeys(c[0] for c in cut) if p not in first])
         self._learn_after([p for p in dict.fromkeys(p for c in cut for p in c[1:]) if p not in after])
         out = []
         for text, c in zip(texts, cut, strict=True):
@@ -246,7 +265,7 @@ class Encoder:
             except TypeError:
                 rest: dict[str, bytes] = {}
                 pieces = re.split(r"(?<=\S)(?= \S)", text) if text else []
-                self._learn(rest, list(dict.fromkeys(pieces)), "", True)
+                self._learn(rest, list(dict.fromkeys(pieces)), True)
                 out.append(b"".join([rest[p] for p in pieces]))
         return out
 
