@@ -105,42 +105,56 @@ def _shingler(words: int):
     return cut
 
 
+def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold."""
+    if min(len(p), len(q)) < similarity * max(len(p), len(q)) - 1e-9:
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(p) + len(q) - shared) - 1e-9
+
+
 def _verifier(similarity: float):
     def check(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            keep = []
-            last, p = None, None
-            for i in range(len(a)):
-                if last is None or y[i] != last:
-                    last, p = y[i], np.frombuffer(y[i].as_py(), np.uint64)
-                q = np.frombuffer(x[i].as_py(), np.uint64)
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    continue
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if shared >= similarity * (len(p) + len(q) - shared) - 1e-9:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
+            x, y = batch.column(2), batch.column(3)
+            keep = pa.array([i for i in range(batch.num_rows) if alike(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), similarity)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     return check
 
 
-def _comparer(estimate: float):
+def _comparer(estimate: float, similarity: float, rows: int):
+    """Links between members of a bucket that are in different components.
+
+    Emits a link only if it joins what no link before it has joined, so that there are fewer
+    links than members. A pair that shares an earlier band is left to that band's bucket.
+    """
+
     def compare(key, table):
         nid, comp = table.column("nid").to_numpy(), table.column("comp").to_numpy()
         part, one, two = table.column("part").to_numpy(), key[1].as_py(), key[2].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(nid), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        size = np.array([len(x) for x in sets])
+        bands = band_keys(sig, rows)
+        before = bands[:, : int(np.argmax(bands[0] == key[0].as_py()))]
+        root = np.unique(comp, return_inverse=True)[1]
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
         a, b = [], []
         for i in left:
             other = right[nid[right] > nid[i]] if one == two else right
-            other = other[comp[other] != comp[i]]
+            other = other[root[other] != root[i]]
+            other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9]
             if len(other):
-                near = other[(sig[other] == sig[i]).mean(1) >= estimate]
-                a += [nid[i]] * len(near)
-                b += nid[near].tolist()
+                other = other[(sig[other] == sig[i]).mean(1) >= estimate]
+                other = other[~(before[other] == before[i]).any(1)]
+            for j in other:
+                if root[j] != root[i] and alike(sets[i], sets[j], similarity):
+                    a.append(nid[i])
+                    b.append(nid[j])
+                    root[root == root[j]] = root[i]
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -170,13 +184,12 @@ def components(links: DataFrame, name: str = "parts") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, registers: int = REGISTERS, rows: int = ROWS, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: its id, text_id (of equal texts), class_id, n_links, keep_text.
+    """One row per row of docs: its id, text_id (of equal texts), class_id and keep_text.
 
     Rows are in a class if a chain of links joins them; a link stands between equal texts and
     between texts whose sets of `words`-word shingles have a Jaccard similarity of at least
-    `similarity`. class_id is the smallest id in the class (null if all are null), n_links
-    the number of different texts that the row's text is found linked to, keep whether the
-    row's text is the class's first (the one that holds class_id; see first_of_classes).
+    `similarity`. class_id is the smallest id in the class (null if all are null),
+    keep_text whether the row's text is the class's first (see first_of_classes).
 
     Equal texts are one node (by 128-bit digest). Each node gets a ProbMinHash signature, its
     shingles weighted 1 + ln(count), and a key for each band of `rows` registers. Within a
@@ -184,7 +197,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     buckets with most others: a row per member and band, whatever the bucket's size. Buckets
     whose members are then in one component need no more. In the others, members of
     different components are compared by signature, in blocks of bounded size, and pairs
-    likely to be similar are verified too. No bucket is capped.
+    likely to be similar are verified too, until what is alike is joined. No bucket is
+    capped. Joins of texts and shingles are by shuffle at every size.
 
     Words are runs of letters, digits and characters beyond ASCII, in lower case (A-Z). A
     text of fewer words has one shingle of all its words; a text without words is linked
@@ -205,37 +219,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     stars = written(stars, "near-stars")
 
     wanted = nodes.select("_tid", "nid").join(entries.select("nid").distinct(), "nid", "left_semi")
-    texts = rows_in.join(written(wanted, "near-wanted"), "_tid").groupBy("nid").agg(F.first("_text").alias("_text"))
+    texts = rows_in.join(written(wanted, "near-wanted").hint("merge"), "_tid").groupBy("nid").agg(F.first("_text").alias("_text"))
     sets = written(texts.select("nid", "_text").mapInArrow(_shingler(words), "nid bigint, set binary"), "near-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         one, two = sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), sets.select(F.col("nid").alias("b"), F.col("set").alias("y"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
         return written(both.mapInArrow(_verifier(similarity), "a bigint, b bigint"), name)
 
     links = verified(stars, "near-links")
     comp = components(links)
     left = entries.join(comp, entries["nid"] == comp["node"], "left").select("bkey", "nid", F.coalesce("comp", "nid").alias("comp"))
     open_ = left.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("bkey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = written(left.join(open_, "bkey"), "near-open").join(nodes.select("nid", "sig"), "nid")
+    members = written(left.join(open_, "bkey"), "near-open").join(nodes.select("nid", "sig"), "nid").join(sets.hint("merge"), "nid")
     members = members.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("bkey", "nid", "comp", "sig", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
-    more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(ESTIMATE), "a bigint, b bigint").distinct()
-    links2 = verified(more.join(stars, ["a", "b"], "left_anti"), "near-links2")
-    links = links.union(links2)
-    comp = components(links)
+    members = members.select("bkey", "nid", "comp", "sig", "set", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
+    more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(ESTIMATE, similarity, rows), "a bigint, b bigint")
+    comp = components(links.union(written(more, "near-links2")))
 
-    count = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
     by_text = rows_in.groupBy("_tid").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    named = by_text.join(nodes.select("_tid", "nid"), "_tid").join(comp, F.col("nid") == comp["node"], "left").join(count, "nid", "left")
-    named = written(named.select("_tid", "first_id", F.coalesce("comp", "nid").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near-named")
+    named = by_text.join(nodes.select("_tid", "nid"), "_tid").join(comp, F.col("nid") == comp["node"], "left")
+    named = written(named.select("_tid", "first_id", F.coalesce("comp", "nid").alias("comp")), "near-named")
     # The class's first text: the smallest id, ids before null, ties to the smaller digest.
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f"), F.count(F.lit(1)).alias("n_texts"))
-    classes = named.join(first, "comp").select("_tid", "n_links", "n_texts", F.col("f.class_id").alias("class_id"), (F.col("f.keep") == F.col("_tid")).alias("keep_text"))
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f"))
+    classes = named.join(first, "comp").select("_tid", F.col("f.class_id").alias("class_id"), (F.col("f.keep") == F.col("_tid")).alias("keep_text"))
     classes = written(classes, "near-classes")
     narrow = docs.select(F.col(id_col), F.md5(text_of(docs)).alias("_tid"))
-    return narrow.join(classes, "_tid").select(id_col, F.col("_tid").alias("text_id"), "class_id", "n_links", "keep_text")
+    return narrow.join(classes, "_tid").select(id_col, F.col("_tid").alias("text_id"), "class_id", "keep_text")
 
 
 def first_of_classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
