@@ -19,7 +19,7 @@ MOST_VOCABULARY = 1 << 22
 _HASH_BITS = 18
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 #: Forms of the head of a block and of the end of a file.
-_BLOCK, _TAIL = "<4sIIIII", "<QII8s"
+_BLOCK, _TAIL = "<4sIIIIII", "<QII8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_BLOCK), struct.calcsize(_TAIL)
 
 
@@ -135,15 +135,15 @@ def encode_block(ids: np.ndarray) -> bytes:
         put(everyone, low)
         low <<= np.uint64(16)
     body = used.astype("<u4").tobytes() + words.reshape(lanes, width)[np.arange(width)[None, :] < used[:, None]].tobytes()
-    return struct.pack(_BLOCK, b"MIXB", n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(body)) + body
+    return struct.pack(_BLOCK, b"MIXB", n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(body), zlib.crc32(body)) + body
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of a block; ValueError if its checksum or form is wrong."""
     if len(block) < _HEAD_BYTES:
         raise ValueError("a token block is cut off")
-    magic, n, lanes, vocabulary, crc, size = struct.unpack_from(_BLOCK, block)
-    if magic != b"MIXB" or len(block) < _HEAD_BYTES + size or lanes != _lanes(n)[0]:
+    magic, n, lanes, vocabulary, crc, size, whole = struct.unpack_from(_BLOCK, block)
+    if magic != b"MIXB" or len(block) < _HEAD_BYTES + size or not n or lanes != _lanes(n)[0] or zlib.crc32(block[_HEAD_BYTES : _HEAD_BYTES + size]) != whole:
         raise ValueError("not a whole token block")
     steps = _lanes(n)[1]
     used = np.frombuffer(block, "<u4", lanes, _HEAD_BYTES).astype(np.int64)
