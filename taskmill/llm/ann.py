@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from taskmill.llm.common import written
 
-DIMENSIONS, CONFIDENCE, LEAF = 8, 0.99, 32
+DIMENSIONS, CONFIDENCE, LEAF = 8, 0.99, 256
 #: Vectors in one tree; queries in one block that is sent to a tree.
 SHARD, QUERY_BLOCK = 20_000, 2_000
 
