@@ -161,28 +161,44 @@ def _comparer(estimate: float, similarity: float, rows: int):
     return compare
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u of edges (u, v) has one v, which is no u itself."""
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
+    nodes = roles.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.agg(F.max(F.col("out") + F.when(F.col("out") > 0, F.col("into")).otherwise(0))).first()[0] in (None, 1)
+
+
 def components(links: DataFrame, name: str = "parts") -> DataFrame:
     """(node, comp) of every node of links (a, b): comp is the smallest node that it reaches.
 
-    Alternates large-star and small-star contraction; each round is a written table, so no
-    lineage grows and nothing is gathered on the driver but two sums.
+    Alternates large-star and small-star contraction until only stars are left; each round is
+    a written table, so no lineage grows and nothing is gathered on the driver but one number.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        # One row at most for each edge, so that repeats can wait for the end of the round.
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         edges = written(small, name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if now[0] == now[2] and now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def joined(comp: DataFrame, links: DataFrame, name: str = "parts") -> DataFrame:
+    """components() of the links behind comp and of further links together.
+
+    Only what the further links join is contracted: its nodes are the components so far.
+    """
+    for end in ("a", "b"):
+        links = links.join(comp.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
+    over = components(links.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")), name)
+    over = over.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    ours = comp.join(over, comp["comp"] == over["old"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return ours.union(over.join(comp, over["old"] == comp["node"], "left_anti").select("old", "new"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, registers: int = REGISTERS, rows: int = ROWS, id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: its id, text_id (of equal texts), class_id and keep_text.
 
@@ -236,7 +252,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("bkey", "nid", "comp", "sig", "set", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
     more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(ESTIMATE, similarity, rows), "a bigint, b bigint")
-    comp = components(links.union(written(more, "near-links2")))
+    comp = joined(comp, written(more, "near-links2"))
 
     by_text = rows_in.groupBy("_tid").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     named = by_text.join(nodes.select("_tid", "nid"), "_tid").join(comp, F.col("nid") == comp["node"], "left")

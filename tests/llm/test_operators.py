@@ -236,6 +236,22 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 200 for i in range(200, 230)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_further_links_join_components(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = rng.integers(0, 60, (70, 2)).tolist()
+    first, further = links[:40], links[40:]
+    root = list(range(60))
+    for a, b in links:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    for one, two in ((first, further), (links, []), ([], links)):
+        got = [(r.node, r.comp) for r in near_dup.joined(near_dup.components(frame(one)), frame(two)).collect()]
+        named = dict(got)
+        assert len(got) == len(named) and all(root[n] == c for n, c in got)
+        assert all(n in named for n in range(60) if root.count(root[n]) > 1)
+
+
 def test_license(spark, odd, none):
     rows = {r.doc_id: r for r in license_scan.license_scan(docs(spark, [(1, "CC  by, cc-BY\nx", None), (2, "accc by", None), (3, "Licensed under the Apache License, Version 2.0.", None), (4, None, None)])).collect()}
     assert (rows[1].n_base, rows[1].first_word, rows[1].last_word, rows[1].base_labels, rows[1].score) == (2, 0, 2, "cc-by", 1.0)
