@@ -6,6 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
+from itertools import chain, compress, count, filterfalse
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -179,16 +181,21 @@ def shingles(hashes: np.ndarray, row: np.ndarray, k: int):
 # ---------------------------------------------------------------- token ids
 
 
+#: Marks that the byte-level pre-tokenizer parts from the word before them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizers library, with a memory of words.
 
     A text is cut at each single space that stands between two visible characters:
     there the byte-level pre-tokenizer always begins a new piece, so that the pieces can be
-    encoded on their own. Repeated pieces are encoded once while the memory holds them; it
-    is emptied when it has `most` entries, which changes time only, not ids.
+    encoded on their own. Repeated pieces are encoded once while the memory holds them. It has
+    two generations: when the young one has `most` entries it becomes the old one, whose
+    entries move back as they are met again. This changes time only, not ids.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000, run_chars: int = 2_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -203,7 +210,8 @@ class Encoder:
         self.after: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes | None] = {}
-        self.most = most
+        self.old: dict[str, dict[str, bytes | None]] = {"after": {}, "first": {}, "marks": {}}
+        self.most, self.run_chars = most, run_chars
         self.opens = np.zeros(self.size, bool)
         self.opens[[i for t, i in self.model.get_vocab().items() if t[:1] == "\u0120"]] = True  # a space
 
@@ -232,41 +240,72 @@ class Encoder:
                 odd = not whole and (not p or p[-1].isspace())
                 memory[p] = None if odd else np.array(e.ids, "<u4").tobytes()
 
+    def _unknown(self, name: str, pieces) -> list[str]:
+        """Those pieces, each once, that neither generation of a memory holds."""
+        young, old = getattr(self, name), self.old[name]
+        new = dict.fromkeys(filterfalse(young.__contains__, pieces))
+        if old:
+            again = [p for p in new if p in old]
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            return [p for p in new if p not in old]
+        return list(new)
+
     def _learn_after(self, new: list[str]) -> None:
         """Learn pieces; a Latin word and the marks behind it are two pieces of their own."""
         plain, split = [], []
         for p in new:
-            word = p.rstrip(".,;:!?")
+            word = p.rstrip(MARKS)
             if len(word) < len(p) and word.isalpha() and max(word) < "\u0250":
                 split.append((p, word, p[len(word) :]))
             else:
                 plain.append(p)
-        words = dict.fromkeys(plain) | {w: None for _, w, _ in split if w not in self.after}
-        self._learn_run(self.after, list(words))
-        self._learn(self.marks, [m for m in dict.fromkeys(m for *_, m in split) if m not in self.marks], True)
+        self._learn_run(self.after, plain)
+        words = self._unknown("after", (w for _, w, _ in split))
+        self._learn_run(self.after, words)
+        self._learn(self.marks, self._unknown("marks", (m for *_, m in split)), True)
+        after, marks = self.after, self.marks
         for p, word, m in split:
-            self.after[p] = self.after[word] + self.marks[m]
+            after[p] = after[word] + marks[m]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        lo = chars = 0
+        for hi, text in enumerate(texts):
+            chars += len(text)
+            if chars > self.run_chars:
+                out += self._batch(texts[lo : hi + 1])
+                lo, chars = hi + 1, 0
+        return out + self._batch(texts[lo:])
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         import re
 
-        after, first = self.after, self.first
-        for memory in (after, first, self.marks):
-            if len(memory) > self.most:
-                memory.clear()
+        for name in self.old:
+            if len(getattr(self, name)) > self.most:
+                self.old[name] = getattr(self, name)
+                setattr(self, name, {})
         cut = [x.split(" ") for x in texts]
-        self._learn(first, [p for p in dict.fromkeys(c[0] for c in cut) if p not in first])
-        self._learn_after([p for p in dict.fromkeys(p for c in cut for p in c[1:]) if p not in after])
-        out = []
-        for text, c in zip(texts, cut, strict=True):
+        heads = [c.pop(0) for c in cut]
+        self._learn(self.first, self._unknown("first", heads))
+        pieces = list(chain.from_iterable(cut))
+        after = self.after
+        ids = list(map(after.get, pieces))
+        holes = list(compress(count(), map(not_, ids)))
+        self._learn_after(self._unknown("after", map(pieces.__getitem__, holes)))
+        for i in holes:
+            ids[i] = after[pieces[i]]
+        out, lo = [], 0
+        for text, head, c in zip(texts, heads, cut, strict=True):
+            hi = lo + len(c)
             try:
-                out.append(first[c[0]] + b"".join([after[p] for p in c[1:]]))
+                out.append(self.first[head] + b"".join(ids[lo:hi]))
             except TypeError:
                 rest: dict[str, bytes] = {}
-                pieces = re.split(r"(?<=\S)(?= \S)", text) if text else []
-                self._learn(rest, list(dict.fromkeys(pieces)), True)
-                out.append(b"".join([rest[p] for p in pieces]))
+                parts = re.split(r"(?<=\S)(?= \S)", text) if text else []
+                self._learn(rest, list(dict.fromkeys(parts)), True)
+                out.append(b"".join([rest[p] for p in parts]))
+            lo = hi
         return out
 
 

@@ -14,10 +14,14 @@ from pyspark.sql.window import Window as W
 from taskmill.llm.common import encoder, new_path, open_fs, text_of, written
 
 BLOCK_IDS, LANE_IDS, MOST_LANES = 1 << 20, 256, 4096
-#: Ids must be below this, so that the coder's 64-bit arithmetic keeps its precision.
-MOST_VOCABULARY = 1 << 22
+#: Bits of the shares of the three predictions, and of the shares of ids in order 0.
+_MIX_BITS, _ID_BITS = 12, 20
+#: Ids must be below this, so that order 0 can give a share to each.
+MOST_VOCABULARY = 1 << (_ID_BITS - 1)
 _HASH_BITS = 18
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+#: Steps between two updates of order 0, once the first of that number are over.
+_REFRESH = 8
+_WORD, _HALF = np.uint64(32), np.uint64(0xFFFFFFFF)
 #: Forms of the head of a block and of the end of a file.
 _BLOCK, _TAIL = "<4sIIIIII", "<QII8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_BLOCK), struct.calcsize(_TAIL)
@@ -27,61 +31,76 @@ class Mixture:
     """Predictions of orders 0 to 2, the same for the coder and the decoder.
 
     Orders 1 and 2 each name one id, the one that last proved right after the last one or two
-    ids, with a trust from 0 to 3. For each pair of trusts the mixture learns how often either
-    is right; what is left goes to order 0, the counts of the ids that neither foretold.
-    All lanes of a block code one id per step and share the model.
+    ids, with a trust from 0 to 3; a table holds 4 x id + trust. For each pair of trusts the
+    mixture learns how often either is right; what is left goes to order 0, the counts of the
+    ids that neither foretold. All lanes of a block code one id per step and share the model.
     """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.v = vocabulary
         self.count = np.ones(vocabulary, np.int64)
-        self.one, self.one_trust = np.zeros(vocabulary + 1, np.int64), np.zeros(vocabulary + 1, np.int64)
-        self.two, self.two_trust = np.zeros(1 << _HASH_BITS, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
+        self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
         self.weights = np.tile(np.array([2, 1, 4], np.int64), (32, 1))
         self.p1, self.p2 = np.full(lanes, vocabulary, np.int64), np.full(lanes, vocabulary, np.int64)
-        self.cum = np.cumsum(self.count)
+        self.ends = np.zeros(vocabulary + 1, np.int64)
+        self.missed, self.step = [], 0
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Shares of ids in order 0, at least 1 each, with the sum 2^_ID_BITS."""
+        if self.missed:
+            self.count += np.bincount(np.concatenate(self.missed), minlength=self.v) * 16
+            self.missed = []
+        free = (1 << _ID_BITS) - self.v
+        np.cumsum(self.count * free // int(self.count.sum()) + 1, out=self.ends[1:])
+        self.ends[-1] = 1 << _ID_BITS
 
     def predict(self, k: int):
-        p1, p2 = self.p1[:k], self.p2[:k]
-        self.h = ((p1 * 0x2C1B3C6D + p2 * 0x297A2D39) >> 7) & ((1 << _HASH_BITS) - 1)
-        self.a, self.ta, self.b, self.tb = self.two[self.h], self.two_trust[self.h], self.one[p1], self.one_trust[p1]
-        self.context = (self.ta * 4 + self.tb) * 2 + (self.a == self.b)
-        ends = np.cumsum(self.weights, axis=1).astype(np.uint64)[self.context]
-        return ends[:, 0], ends[:, 1], ends[:, 2]
-
-    def learn(self, x: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
-        k = len(x)
+        """Where the shares of orders 2 and 1 end, of 2^_MIX_BITS; guesses in self.a and self.b."""
+        p1 = self.p1[:k]
+        self.h = ((p1 * 0x2C1B3C6D + self.p2[:k] * 0x297A2D39) >> 7) & ((1 << _HASH_BITS) - 1)
+        self.at_two, self.at_one = self.two[self.h], self.one[p1]
+        self.a, self.b = self.at_two >> 2, self.at_one >> 2
+        self.context = ((self.at_two & 3) * 4 + (self.at_one & 3)) * 2 + (self.a == self.b)
+        share = np.cumsum(self.weights[:, :2] * ((1 << _MIX_BITS) - 3) // self.weights.sum(1, keepdims=True) + 1, axis=1)
+        return share[:, 0][self.context], share[:, 1][self.context]
+
+    def ids_at(self, share: np.ndarray) -> np.ndarray:
+        """The ids whose shares of order 0 hold these places; sorted places are found faster."""
+        k = len(share)
+        ranked = np.sort(share * k + np.arange(k))
+        out = np.empty(k, np.int64)
+        out[ranked % max(k, 1)] = np.searchsorted(self.ends, ranked // max(k, 1), side="right") - 1
+        return out
+
+    def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
         self.weights += np.bincount(self.context * 3 + kind, minlength=96).reshape(32, 3) * 2
         full = self.weights.sum(1) > 1 << 15
         if full.any():
             self.weights[full] = (self.weights[full] >> 1) | 1
-        if len(missed):
-            self.count += np.bincount(x[missed], minlength=self.v) * 16
-            self.cum = np.cumsum(self.count)
-        p1 = self.p1[:k]
-        for trust, guess, table, trusts, at in ((self.ta, self.a, self.two, self.two_trust, self.h), (self.tb, self.b, self.one, self.one_trust, p1)):
-            right = (x == guess) & (trust > 0)
-            table[at] = np.where(right | (trust > 1), guess, x)
-            trusts[at] = np.where(right, np.minimum(trust + 1, 3), np.where(trust > 1, trust - 1, 1))
+        self.missed.append(x[kind == 2])
+        self.step += 1
+        if self.step <= _REFRESH or self.step % _REFRESH == 0:
+            self._refresh()
+        k = len(x)
+        p1, fresh = self.p1[:k], (x * 4 + 1).astype(np.int32)
+        for had, guess, table, at in ((self.at_two, self.a, self.two, self.h), (self.at_one, self.b, self.one, p1)):
+            trust = had & 3
+            table[at] = np.where(x == guess, np.where(trust == 0, fresh, had + (trust < 3)), np.where(trust > 1, had - 1, fresh))
         self.p2[:k] = p1
         self.p1[:k] = x
 
 
-def _settle(low, rng, each):
-    """Bring ranges back above 2^32; each(lanes, low) takes the 16 bits that are settled."""
-    go = None
-    while True:
-        lo, rg = (low, rng) if go is None else (low[go], rng[go])
-        top = (lo ^ (lo + rg)) < _TOP
-        want = np.flatnonzero(top | (rg < _BOTTOM))
-        if not len(want):
-            return
-        lo, rg, top = lo[want], rg[want], top[want]
-        go = want if go is None else go[want]
-        rg = np.where(top, rg, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-        each(go, lo)
-        low[go] = lo << np.uint64(16)
-        rng[go] = rg << np.uint64(16)
+def _settle(low, rng):
+    """Lanes whose ranges fell below 2^32, and their settled words; the ranges are widened.
+
+    A range that would carry into the settled word is cut there, so low + rng stays in 64 bits.
+    """
+    at = np.flatnonzero(rng <= _HALF)
+    lo, rg = low[at], rng[at]
+    rng[at] = np.minimum(rg, (_HALF - (lo & _HALF)) + np.uint64(1)) << _WORD
+    low[at] = lo << _WORD
+    return at, lo >> _WORD
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -96,6 +115,8 @@ def encode_block(ids: np.ndarray) -> bytes:
     vocabulary = int(ids.max()) + 1
     if vocabulary > MOST_VOCABULARY:
         raise ValueError(f"ids must be below {MOST_VOCABULARY}")
+    if n > BLOCK_IDS:
+        raise ValueError(f"a block holds at most {BLOCK_IDS} ids")
     lanes, steps = _lanes(n)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
@@ -103,38 +124,34 @@ def encode_block(ids: np.ndarray) -> bytes:
     last = n - (lanes - 1) * steps
     model = Mixture(vocabulary, lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    width = 4 * steps + 8
-    words, used = np.zeros(lanes * width, "<u2"), np.zeros(lanes, np.int64)
-
-    def put(at, lo):
-        words[at * width + used[at]] = lo >> np.uint64(48)
-        used[at] += 1
-
+    width = steps + 1
+    words = np.zeros(lanes * width, "<u4")
+    begin = np.arange(lanes) * width
+    place = begin.copy()
     for t in range(steps):
         k = lanes if t < last else lanes - 1
         x = grid[t, :k]
-        e0, e1, e2 = model.predict(k)
-        kind = np.where(x == model.a, 0, np.where(x == model.b, 1, 2))
-        start = np.where(kind == 0, np.uint64(0), np.where(kind == 1, e0, e1))
-        end = np.where(kind == 0, e0, np.where(kind == 1, e1, e2))
-        r = rng[:k] // e2
-        low[:k] += r * start
-        rng[:k] = r * (end - start)
-        _settle(low[:k], rng[:k], put)
+        e0, e1 = model.predict(k)
+        is_two = x == model.a
+        kind = np.where(is_two, 0, 2 - (x == model.b))
+        start, size = np.where(is_two, 0, e0) << _ID_BITS, np.where(is_two, e0, e1 - e0) << _ID_BITS
         missed = np.flatnonzero(kind == 2)
-        if len(missed):
-            y = x[missed]
-            lo, r = low[missed], rng[missed] // np.uint64(model.cum[-1])
-            f = model.count[y].astype(np.uint64)
-            lo += r * (model.cum[y].astype(np.uint64) - f)
-            low[missed], rng[missed] = lo, r * f
-            _settle(low[:k], rng[:k], put)
-        model.learn(x, kind, missed)
-    everyone = np.arange(lanes)
-    for _ in range(4):
-        put(everyone, low)
-        low <<= np.uint64(16)
-    body = used.astype("<u4").tobytes() + words.reshape(lanes, width)[np.arange(width)[None, :] < used[:, None]].tobytes()
+        y, base = x[missed], e1[missed]
+        rest, lower = (1 << _MIX_BITS) - base, model.ends[y]
+        start[missed] = (base << _ID_BITS) + rest * lower
+        size[missed] = rest * (model.ends[y + 1] - lower)
+        lo, rg = low[:k], rng[:k]
+        r = rg >> _WORD
+        lo += r * start.view(np.uint64)
+        np.multiply(r, size.view(np.uint64), out=rg)
+        at, word = _settle(lo, rg)
+        words[place[at]] = word
+        place[at] += 1
+        model.learn(x, kind)
+    # The first word in the range that needs no more bits; those behind it are read as 0.
+    words[place] = (low + _HALF) >> _WORD
+    used = place + 1 - begin
+    body = used.astype("<u2").tobytes() + words.reshape(lanes, width)[np.arange(width)[None, :] < used[:, None]].tobytes()
     return struct.pack(_BLOCK, b"MIXB", n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(body), zlib.crc32(body)) + body
 
 
@@ -146,46 +163,48 @@ def decode_block(block: bytes) -> np.ndarray:
     if magic != b"MIXB" or len(block) < _HEAD_BYTES + size or not n or lanes != _lanes(n)[0] or zlib.crc32(block[_HEAD_BYTES : _HEAD_BYTES + size]) != whole:
         raise ValueError("not a whole token block")
     steps = _lanes(n)[1]
-    used = np.frombuffer(block, "<u4", lanes, _HEAD_BYTES).astype(np.int64)
-    words = np.append(np.frombuffer(block, "<u2", (size - 4 * lanes) // 2, _HEAD_BYTES + 4 * lanes), np.zeros(8, "<u2")).astype(np.uint64)
-    at = np.cumsum(used) - used
+    used = np.frombuffer(block, "<u2", lanes, _HEAD_BYTES).astype(np.int64)
+    words = np.append(np.frombuffer(block, "<u4", (size - 2 * lanes) // 4, _HEAD_BYTES + 2 * lanes), np.zeros(1, "<u4")).astype(np.uint64)
+    end = np.cumsum(used)
+    place = end - used
     last = n - (lanes - 1) * steps
     model = Mixture(vocabulary, lanes)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, np.uint64)
-    most = len(words) - 1
+    nothing = len(words) - 1
 
-    def get(lane, _lo):
-        code[lane] = (code[lane] << np.uint64(16)) | words[np.minimum(at[lane], most)]
-        at[lane] += 1
+    def following(at):
+        p = place[at]
+        place[at] = p + 1
+        return words[np.where(p < end[at], p, nothing)]
 
     everyone = np.arange(lanes)
-    for _ in range(4):
-        get(everyone, low)
+    for _ in range(2):
+        code = (code << _WORD) | following(everyone)
     grid = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         k = lanes if t < last else lanes - 1
-        e0, e1, e2 = model.predict(k)
-        r = rng[:k] // e2
-        v = np.minimum((code[:k] - low[:k]) // r, e2 - np.uint64(1))
-        kind = (v >= e0).astype(np.int64) + (v >= e1)
-        start = np.where(kind == 0, np.uint64(0), np.where(kind == 1, e0, e1))
-        end = np.where(kind == 0, e0, np.where(kind == 1, e1, e2))
-        low[:k] += r * start
-        rng[:k] = r * (end - start)
-        _settle(low[:k], rng[:k], get)
-        x = np.where(kind == 0, model.a, model.b)
+        e0, e1 = model.predict(k)
+        lo, rg, cd = low[:k], rng[:k], code[:k]
+        r = rg >> _WORD
+        v = np.minimum((cd - lo) // r, _HALF).view(np.int64)
+        share = v >> _ID_BITS
+        kind = (share >= e0).astype(np.int64) + (share >= e1)
+        is_two = kind == 0
+        x = np.where(is_two, model.a, model.b).astype(np.int64)
+        start, size = np.where(is_two, 0, e0) << _ID_BITS, np.where(is_two, e0, e1 - e0) << _ID_BITS
         missed = np.flatnonzero(kind == 2)
-        if len(missed):
-            total = np.uint64(model.cum[-1])
-            lo, r = low[missed], rng[missed] // total
-            v = np.minimum((code[missed] - lo) // r, total - np.uint64(1)).astype(np.int64)
-            y = np.searchsorted(model.cum, v, side="right")
-            f = model.count[y].astype(np.uint64)
-            lo += r * (model.cum[y].astype(np.uint64) - f)
-            low[missed], rng[missed] = lo, r * f
-            x[missed] = y
-            _settle(low[:k], rng[:k], get)
-        model.learn(x, kind, missed)
+        base = e1[missed]
+        rest = (1 << _MIX_BITS) - base
+        y = model.ids_at((v[missed] - (base << _ID_BITS)) // rest)
+        lower = model.ends[y]
+        x[missed] = y
+        start[missed] = (base << _ID_BITS) + rest * lower
+        size[missed] = rest * (model.ends[y + 1] - lower)
+        lo += r * start.view(np.uint64)
+        np.multiply(r, size.view(np.uint64), out=rg)
+        at, _ = _settle(lo, rg)
+        cd[at] = (cd[at] << _WORD) | following(at)
+        model.learn(x, kind)
         grid[t, :k] = x
     ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
