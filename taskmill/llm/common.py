@@ -217,9 +217,9 @@ class Encoder:
 
     def _learn_run(self, memory: dict, new: list[str]) -> None:
         """Learn pieces that follow a space, many in one text: a space begins each."""
-        odd = [p for p in new if not p or p[-1].isspace() or p[0].isspace()]
-        memory.update(dict.fromkeys(odd))
-        fit = [p for p in new if p not in memory]
+        odd = dict.fromkeys(p for p in new if not p or p[-1].isspace() or p[0].isspace())
+        memory.update(odd)
+        fit = [p for p in new if p not in odd] if odd else new
         runs = [fit[i : i + 500] for i in range(0, len(fit), 500)]
         for lo in range(0, len(runs), 8):
             part = runs[lo : lo + 8]
@@ -255,7 +255,7 @@ class Encoder:
         plain, split = [], []
         for p in new:
             word = p.rstrip(MARKS)
-            if len(word) < len(p) and word.isalpha() and max(word) < "\u0250":
+            if len(word) < len(p) and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
                 split.append((p, word, p[len(word) :]))
             else:
                 plain.append(p)
