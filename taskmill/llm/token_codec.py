@@ -14,10 +14,10 @@ from pyspark.sql.window import Window as W
 from taskmill.llm.common import encoder, new_path, open_fs, text_of, written
 
 BLOCK_IDS, LANE_IDS, MOST_LANES = 1 << 20, 256, 4096
-#: Bits of the shares of the three predictions, and of the shares of ids in order 0.
-_MIX_BITS, _ID_BITS = 12, 20
-#: Ids must be below this, so that order 0 can give a share to each.
-MOST_VOCABULARY = 1 << (_ID_BITS - 1)
+#: Ids must be below this, so that order 0 can give a share to each and predictions keep theirs.
+MOST_VOCABULARY = 1 << 22
+#: Least bits of the shares of ids in order 0; the shares of the three predictions have the rest of 32.
+_ID_BITS = 20
 _HASH_BITS = 18
 #: Steps between two updates of order 0, once the first of that number are over.
 _REFRESH = 8
@@ -38,6 +38,8 @@ class Mixture:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.v = vocabulary
+        self.id_bits = max(_ID_BITS, vocabulary.bit_length() + 1)
+        self.mix_bits = 32 - self.id_bits
         self.count = np.ones(vocabulary, np.int64)
         self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
         self.weights = np.tile(np.array([2, 1, 4], np.int64), (32, 1))
@@ -47,22 +49,22 @@ class Mixture:
         self._refresh()
 
     def _refresh(self) -> None:
-        """Shares of ids in order 0, at least 1 each, with the sum 2^_ID_BITS."""
+        """Shares of ids in order 0, at least 1 each, with the sum 2^id_bits."""
         if self.missed:
             self.count += np.bincount(np.concatenate(self.missed), minlength=self.v) * 16
             self.missed = []
-        free = (1 << _ID_BITS) - self.v
+        free = (1 << self.id_bits) - self.v
         np.cumsum(self.count * free // int(self.count.sum()) + 1, out=self.ends[1:])
-        self.ends[-1] = 1 << _ID_BITS
+        self.ends[-1] = 1 << self.id_bits
 
     def predict(self, k: int):
-        """Where the shares of orders 2 and 1 end, of 2^_MIX_BITS; guesses in self.a and self.b."""
+        """Where the shares of orders 2 and 1 end, of 2^mix_bits; guesses in self.a and self.b."""
         p1 = self.p1[:k]
         self.h = ((p1 * 0x2C1B3C6D + self.p2[:k] * 0x297A2D39) >> 7) & ((1 << _HASH_BITS) - 1)
         self.at_two, self.at_one = self.two[self.h], self.one[p1]
         self.a, self.b = self.at_two >> 2, self.at_one >> 2
         self.context = ((self.at_two & 3) * 4 + (self.at_one & 3)) * 2 + (self.a == self.b)
-        share = np.cumsum(self.weights[:, :2] * ((1 << _MIX_BITS) - 3) // self.weights.sum(1, keepdims=True) + 1, axis=1)
+        share = np.cumsum(self.weights[:, :2] * ((1 << self.mix_bits) - 3) // self.weights.sum(1, keepdims=True) + 1, axis=1)
         return share[:, 0][self.context], share[:, 1][self.context]
 
     def ids_at(self, share: np.ndarray) -> np.ndarray:
@@ -123,6 +125,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     last = n - (lanes - 1) * steps
     model = Mixture(vocabulary, lanes)
+    id_bits, mix_bits = model.id_bits, model.mix_bits
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
     width = steps + 1
     words = np.zeros(lanes * width, "<u4")
@@ -134,11 +137,11 @@ def encode_block(ids: np.ndarray) -> bytes:
         e0, e1 = model.predict(k)
         is_two = x == model.a
         kind = np.where(is_two, 0, 2 - (x == model.b))
-        start, size = np.where(is_two, 0, e0) << _ID_BITS, np.where(is_two, e0, e1 - e0) << _ID_BITS
+        start, size = np.where(is_two, 0, e0) << id_bits, np.where(is_two, e0, e1 - e0) << id_bits
         missed = np.flatnonzero(kind == 2)
         y, base = x[missed], e1[missed]
-        rest, lower = (1 << _MIX_BITS) - base, model.ends[y]
-        start[missed] = (base << _ID_BITS) + rest * lower
+        rest, lower = (1 << mix_bits) - base, model.ends[y]
+        start[missed] = (base << id_bits) + rest * lower
         size[missed] = rest * (model.ends[y + 1] - lower)
         lo, rg = low[:k], rng[:k]
         r = rg >> _WORD
@@ -169,6 +172,7 @@ def decode_block(block: bytes) -> np.ndarray:
     place = end - used
     last = n - (lanes - 1) * steps
     model = Mixture(vocabulary, lanes)
+    id_bits, mix_bits = model.id_bits, model.mix_bits
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, np.uint64)
     nothing = len(words) - 1
 
@@ -187,18 +191,18 @@ def decode_block(block: bytes) -> np.ndarray:
         lo, rg, cd = low[:k], rng[:k], code[:k]
         r = rg >> _WORD
         v = np.minimum((cd - lo) // r, _HALF).view(np.int64)
-        share = v >> _ID_BITS
+        share = v >> id_bits
         kind = (share >= e0).astype(np.int64) + (share >= e1)
         is_two = kind == 0
         x = np.where(is_two, model.a, model.b).astype(np.int64)
-        start, size = np.where(is_two, 0, e0) << _ID_BITS, np.where(is_two, e0, e1 - e0) << _ID_BITS
+        start, size = np.where(is_two, 0, e0) << id_bits, np.where(is_two, e0, e1 - e0) << id_bits
         missed = np.flatnonzero(kind == 2)
         base = e1[missed]
-        rest = (1 << _MIX_BITS) - base
-        y = model.ids_at((v[missed] - (base << _ID_BITS)) // rest)
+        rest = (1 << mix_bits) - base
+        y = model.ids_at((v[missed] - (base << id_bits)) // rest)
         lower = model.ends[y]
         x[missed] = y
-        start[missed] = (base << _ID_BITS) + rest * lower
+        start[missed] = (base << id_bits) + rest * lower
         size[missed] = rest * (model.ends[y + 1] - lower)
         lo += r * start.view(np.uint64)
         np.multiply(r, size.view(np.uint64), out=rg)
