@@ -10,24 +10,21 @@ from pyspark.sql import functions as F
 from taskmill.llm.common import mix, shingles, string_parts, text_of, word_hashes, written
 
 REGISTERS, ROWS, WORDS, SIMILARITY = 64, 4, 5, 0.8
-#: A pair in a bucket goes on to verification if this share of registers agrees; at a true
-#: similarity of 0.8 fewer than one pair in 10,000 falls below.
-ESTIMATE = 0.6
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out.
 BLOCK = 2048
+#: Shingles of a bucket's members that are looked up at once.
+LOOKUP = 1 << 21
 _KEY_BITS = 48
 
 
 def shingle_sets(data, offs, words: int):
-    """(row, 48-bit shingle, count) of each distinct shingle of each row, in order."""
+    """(row, 48-bit shingle) of each distinct shingle of each row, in order."""
     h, row = shingles(*word_hashes(data, offs), words)
     key = np.sort((row.astype(np.uint64) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS)))
     if not len(key):
-        return np.zeros(0, np.int64), key, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(first, len(key)))
-    key = key[first]
-    return (key >> np.uint64(_KEY_BITS)).astype(np.int64), key & np.uint64((1 << _KEY_BITS) - 1), count
+        return np.zeros(0, np.int64), key
+    key = key[np.append(True, key[1:] != key[:-1])]
+    return (key >> np.uint64(_KEY_BITS)).astype(np.int64), key & np.uint64((1 << _KEY_BITS) - 1)
 
 
 def prob_minhash(row, key, weight, n_rows: int, registers: int) -> np.ndarray:
@@ -36,8 +33,9 @@ def prob_minhash(row, key, weight, n_rows: int, registers: int) -> np.ndarray:
     Each element is a Poisson process whose rate is its weight; each arrival picks a
     register, which keeps the element that reached it first. An element ends once its next
     arrival is later than every register's, so that most end after one or two. The share of
-    registers in which two signatures agree estimates their probability Jaccard similarity.
-    Rows without elements keep zeros.
+    registers in which two signatures agree estimates their probability Jaccard similarity,
+    which at equal weights is the Jaccard similarity of the sets. Rows without elements keep
+    zeros.
     """
     best = np.full(n_rows * registers, np.inf)
     sig = np.zeros(n_rows * registers, np.uint32)
@@ -76,8 +74,9 @@ def _signer(registers: int, rows: int, words: int):
             text = batch.column(batch.schema.get_field_index("_text"))
             for lo, data, offs in string_parts(text):
                 n = len(offs) - 1
-                row, key, count = shingle_sets(data, offs, words)
-                sig = prob_minhash(row, key, 1.0 + np.log(count), n, registers)
+                row, key = shingle_sets(data, offs, words)
+                # Equal weights: bands then agree by the similarity that is verified.
+                sig = prob_minhash(row, key, np.ones(len(row)), n, registers)
                 has = np.bincount(row, minlength=n) > 0
                 bands = band_keys(sig, rows)
                 width = bands.shape[1]
@@ -98,7 +97,7 @@ def _shingler(words: int):
         for batch in batches:
             for lo, data, offs in string_parts(batch.column(1)):
                 n = len(offs) - 1
-                row, key, _ = shingle_sets(data, offs, words)
+                row, key = shingle_sets(data, offs, words)
                 edges = np.searchsorted(row, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([key[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["nid", "set"])
 
@@ -125,11 +124,32 @@ def _verifier(similarity: float):
     return check
 
 
-def _comparer(estimate: float, similarity: float, rows: int):
+def overlaps(sets: list, left: np.ndarray, right: np.ndarray):
+    """Yield (i, js, count) for each i of left and each run js of right, whose sets have about
+    LOOKUP elements; count(i) tells how many elements i shares with each of js."""
+    run = np.cumsum([len(sets[j]) for j in right]) // LOOKUP
+    for r in np.unique(run):
+        js = right[run == r]
+        known, flat = np.unique(np.concatenate([sets[j] for j in js]), return_inverse=True)
+        flat = flat.reshape(-1).astype(np.int32)
+        starts = np.cumsum([0, *(len(sets[j]) for j in js[:-1])])
+
+        def count(i, known=known, flat=flat, starts=starts):
+            held = np.zeros(len(known), np.uint8)
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            held[at[known[at] == sets[i]]] = 1
+            return np.add.reduceat(held[flat], starts, dtype=np.int64)
+
+        for i in left:
+            yield i, js, count
+
+
+def _comparer(similarity: float, rows: int):
     """Links between members of a bucket that are in different components.
 
     Emits a link only if it joins what no link before it has joined, so that there are fewer
     links than members. A pair that shares an earlier band is left to that band's bucket.
+    All other pairs are verified by their shingles.
     """
 
     def compare(key, table):
@@ -143,15 +163,17 @@ def _comparer(estimate: float, similarity: float, rows: int):
         root = np.unique(comp, return_inverse=True)[1]
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
         a, b = [], []
-        for i in left:
-            other = right[nid[right] > nid[i]] if one == two else right
-            other = other[root[other] != root[i]]
-            other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9]
-            if len(other):
-                other = other[(sig[other] == sig[i]).mean(1) >= estimate]
-                other = other[~(before[other] == before[i]).any(1)]
-            for j in other:
-                if root[j] != root[i] and alike(sets[i], sets[j], similarity):
+        for i, js, count in overlaps(sets, left, right):
+            open_ = root[js] != root[i]
+            if one == two:
+                open_ &= nid[js] > nid[i]
+            open_ &= np.minimum(size[js], size[i]) >= similarity * np.maximum(size[js], size[i]) - 1e-9
+            open_[open_] = ~(before[js[open_]] == before[i]).any(1)
+            if not open_.any():
+                continue
+            shared = count(i)
+            for j in js[open_ & (shared >= similarity * (size[js] + size[i] - shared) - 1e-9)]:
+                if root[j] != root[i]:
                     a.append(nid[i])
                     b.append(nid[j])
                     root[root == root[j]] = root[i]
@@ -207,14 +229,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     `similarity`. class_id is the smallest id in the class (null if all are null),
     keep_text whether the row's text is the class's first (see first_of_classes).
 
-    Equal texts are one node (by 128-bit digest). Each node gets a ProbMinHash signature, its
-    shingles weighted 1 + ln(count), and a key for each band of `rows` registers. Within a
+    Equal texts are one node (by 128-bit digest). Each node gets a ProbMinHash signature of its
+    distinct shingles, all of weight 1, so that a register agrees with the probability of the
+    Jaccard similarity, however often a shingle is repeated in one text; and a key for each
+    band of `rows` registers. Within a
     bucket, every member is first verified against the bucket's pivot, the member that shares
     buckets with most others: a row per member and band, whatever the bucket's size. Buckets
     whose members are then in one component need no more. In the others, members of
-    different components are compared by signature, in blocks of bounded size, and pairs
-    likely to be similar are verified too, until what is alike is joined. No bucket is
-    capped. Joins of texts and shingles are by shuffle at every size.
+    different components are all verified with each other by their shingles, in blocks of
+    bounded size, until what is alike is joined. No bucket is capped. Joins of texts and shingles are by shuffle at every size.
 
     Words are runs of letters, digits and characters beyond ASCII, in lower case (A-Z). A
     text of fewer words has one shingle of all its words; a text without words is linked
@@ -251,7 +274,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     members = members.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("bkey", "nid", "comp", "sig", "set", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
-    more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(ESTIMATE, similarity, rows), "a bigint, b bigint")
+    more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(similarity, rows), "a bigint, b bigint")
     comp = joined(comp, written(more, "near-links2"))
 
     by_text = rows_in.groupBy("_tid").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))

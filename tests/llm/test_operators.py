@@ -230,6 +230,44 @@ def test_near_duplicates(spark, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_shingles(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(24):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+        blocks = [[f"z{x}" for x in rng.integers(0, 10**6, 44)] for _ in range(2)]
+        rows.append((10 * k, " ".join(w), None))
+        # 200 shingles shared, 48 added: alike however often the block is repeated.
+        rows += [(10 * k + 1 + j, " ".join(w + b * times), None) for j, (b, times) in enumerate(zip(blocks, (20, 100), strict=True))]
+    got = Counter((r.doc_id, r.class_id) for r in near_dup.near_duplicates(docs(spark, rows).repartition(4)).collect())
+    assert got == plain_classes(rows) == Counter((10 * k + j, 10 * k) for k in range(24) for j in range(3))
+
+
+@pytest.mark.parametrize("lookup", [100, 1 << 21])
+def test_every_pair_of_a_bucket_is_verified(monkeypatch, lookup):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "LOOKUP", lookup)
+    rng = np.random.default_rng(3)
+    heads = [rng.integers(0, 1 << 40, 50).astype(np.uint64) for _ in range(8)]
+    sets = [np.unique(np.append(heads[i % 8][: 50 - i % 3], rng.integers(0, 1 << 40, i % 7).astype(np.uint64))) for i in range(40)]
+    # Only the first band agrees, so that by signatures no pair would be alike.
+    sig = np.arange(40 * 64, dtype=np.uint32).reshape(40, 64)
+    sig[:, :4] = 5
+    bands = near_dup.band_keys(sig, 4)
+    assert len(set(bands[:, 0].tolist())) == 1
+    table = pa.table({"nid": pa.array(range(40), pa.int64()), "comp": pa.array(range(40), pa.int64()), "sig": [s.tobytes() for s in sig], "set": [s.tobytes() for s in sets], "part": [0] * 40})
+    links = near_dup._comparer(0.8, 4)((pa.scalar(int(bands[0, 0])), pa.scalar(0), pa.scalar(0)), table).to_pylist()
+
+    def classes(pairs):
+        head = list(range(40))
+        for i, j in pairs:
+            head = [min(head[i], head[j]) if h in (head[i], head[j]) else h for h in head]
+        return head
+
+    assert classes([(x["a"], x["b"]) for x in links]) == classes([(i, j) for j in range(40) for i in range(j) if near_dup.alike(sets[i], sets[j], 0.8)])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, x) for x in range(201, 230)]
     got = {r.node: r.comp for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
