@@ -84,9 +84,30 @@ def ordered_templates(docs: DataFrame, templates, containment: float) -> list[tu
     return [(i, label, sorted(ws, key=lambda w: (count.get(w, 0), w)), ceil(containment * len(ws) - 1e-9)) for i, (label, ws) in enumerate(sets) if ws]
 
 
+def matching_windows(lines: DataFrame, prefix: DataFrame, full: DataFrame, rare: list[str], longest: int) -> DataFrame:
+    """What matching_blocks() finds in runs of words across line breaks, with null as block.
+
+    A run of as many words as the template that has `need` of them holds a prefix token. The
+    words around each one, so many that any such run through it is among them, are looked at.
+    """
+    worded = lines.select("key", F.array_remove(F.split(F.lower("text"), OUT + "+"), "").alias("ws"))
+    at = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    worded = worded.select("key", "ws", at.alias("at"))
+    start = lambda i, n: F.greatest(i - n + 1, F.lit(0))
+    near = F.transform("at", lambda i: F.struct(F.element_at("ws", i + 1).alias("token"), F.slice("ws", start(i, longest) + 1, i + longest - start(i, longest)).alias("ws"), (i - start(i, longest)).alias("i")))
+    probes = worded.select("key", F.explode(near).alias("x")).select("key", "x.*")
+    # Both tables are made from the templates, a parameter of a few rows.
+    pairs = probes.join(F.broadcast(prefix), "token").join(F.broadcast(full), "template")
+    around = F.slice("ws", start(F.col("i"), F.col("span")) + 1, F.col("i") + F.col("span") - start(F.col("i"), F.col("span")))
+    found = pairs.select("key", F.lit(None).cast("int").alias("block"), "label", "template", "need", "n", F.size(F.array_intersect(around, "tokens")).alias("shared"))
+    return found.filter("shared >= need").distinct()
+
+
 def matching_blocks(docs: DataFrame, key: Column, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(key, block, label, template, containment) of each line of a text and template such
-    that the line has at least `containment` of the template's distinct words.
+    """(key, block, label, template, containment) of each block of a text and template such
+    that the block has at least `containment` of the template's distinct words. Blocks are
+    lines, whatever their length, and, so that a notice may wrap, runs of words of the
+    template's length (up to twice that around a rare word) across lines.
 
     The template's tokens are put in order of their frequency in the corpus, rarest first. A
     line that has `need` of `n` tokens has one of the first n - need + 1: only lines that hold
@@ -98,11 +119,13 @@ def matching_blocks(docs: DataFrame, key: Column, templates=TEMPLATES, containme
     ordered = ordered_templates(docs, templates, containment)
     index = [(w, i, p, need, len(ws)) for i, _, ws, need in ordered for p, w in enumerate(ws[: len(ws) - need + 1])]
     prefix = spark.createDataFrame(index, "token string, template int, place int, need int, n int")
-    full = spark.createDataFrame([(i, label, ws) for i, label, ws, _ in ordered], "template int, label string, tokens array<string>")
+    spans = [len(text.split()) for _, text in templates]
+    full = spark.createDataFrame([(i, label, ws, spans[i]) for i, label, ws, _ in ordered], "template int, label string, tokens array<string>, span int")
     rare = sorted({x[0] for x in index})
     some = f"(?i)(?<!{IN})(?:{'|'.join(rare)})(?!{IN})" if rare else "(?!)"
     text = text_of(docs)
-    lines = docs.filter(text.rlike(some)).select(key.alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("block", "line")).filter(F.col("line").rlike(some))
+    held = docs.filter(text.rlike(some))
+    lines = held.select(key.alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("block", "line")).filter(F.col("line").rlike(some))
     worded = lines.select("key", "block", words_of(F.col("line")).alias("words"))
     probes = worded.select("key", "block", "words", F.explode("words").alias("token")).filter(F.col("token").isin(rare))
     # Both tables are made from the templates, a parameter of a few rows.
@@ -111,6 +134,8 @@ def matching_blocks(docs: DataFrame, key: Column, templates=TEMPLATES, containme
     pairs = pairs.filter(F.col("n") - F.col("place") >= F.col("need")).join(F.broadcast(full), "template")
     shared = F.size(F.array_intersect("words", "tokens"))
     found = pairs.select("key", "block", "label", "template", "need", "n", shared.alias("shared")).filter("shared >= need")
+    wrapped = held.filter(text.contains("\n")).select(key.alias("key"), text.alias("text"))
+    found = found.union(matching_windows(wrapped, prefix, full, rare, max(spans, default=1)))
     return found.select("key", "block", "label", "template", (F.col("shared") / F.col("n")).alias("containment"))
 
 
@@ -118,8 +143,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONT
     """One row per row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The base columns tell where the fixed phrases stand, over words in lower case (A-Z) made of
-    letters, digits and characters beyond ASCII; labels adds those of templates that a line
-    contains to the threshold; score is the greatest containment of a template in a line, 1 if
+    letters, digits and characters beyond ASCII; labels adds those of templates that a block
+    contains to the threshold; score is the greatest containment of a template in one, 1 if
     a phrase stands in the text, else 0. A null text is an empty one, with empty labels. Null
     and repeated ids are kept, a row each. Other columns don't matter.
     """

@@ -298,6 +298,17 @@ def test_license(spark, odd, none):
     assert license_scan.license_scan(odd).count() == len(ODD) and license_scan.license_scan(none).count() == 0
 
 
+def test_license_notices_wrap(spark):
+    mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy"
+    apart = "Redistribution and use in source and binary forms\n" + "other words here\n" * 20 + "with or without modification are permitted"
+    texts = [mit, bsd, mpl, "x\n" * 300 + bsd.replace(" ", "\n"), apart, bsd.replace("\n", " ")]
+    rows = {r.doc_id: r for r in license_scan.license_scan(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [rows[i].labels for i in range(6)] == ["mit", "bsd", "mpl-2.0", "bsd", "", "bsd"]
+    assert [rows[i].score for i in (0, 1, 2, 4)] == [1.0, 1.0, 1.0, 0.0]
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"q{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too few words"), (None, item), (4, "same text of seven words it is")], "item_id long, text string")
