@@ -55,7 +55,7 @@ def base_columns(docs: DataFrame) -> list[Column]:
     any_ = bound("|".join(_phrase(p) for p in PHRASES))
     hit = text.rlike(any_)
     words = lambda x: F.regexp_count(x, F.lit(IN + "++")).cast("long")
-    head = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(any_)) - 1)
+    head = F.regexp_extract(text, "(?s)^(.*?)" + any_, 1)
     until_last = F.regexp_extract(text, "(?s)^(.*)" + any_, 1)
     labels = F.array_compact(F.array(*[F.when(text.rlike(bound(_phrase(p))), F.lit(label)) for p, label in PHRASES.items()]))
     return [

@@ -298,6 +298,11 @@ def test_license(spark, odd, none):
     assert license_scan.license_scan(odd).count() == len(ODD) and license_scan.license_scan(none).count() == 0
 
 
+def test_license_places_behind_wide_characters(spark):
+    row = license_scan.license_scan(docs(spark, [(1, "ab <3 \U0001f600 and \U0001f600\U0001f600, all rights reserved\n\U0001f600 cc by", None), (2, "ab \U0001f600 all rights reserved", None)])).orderBy("doc_id").collect()
+    assert [(r.first_word, r.last_word, r.n_base) for r in row] == [(5, 9, 2), (2, 2, 1)]
+
+
 def test_license_notices_wrap(spark):
     mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
