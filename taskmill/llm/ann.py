@@ -80,7 +80,7 @@ class KdTree:
 
 
 def search(vectors: np.ndarray, ids: np.ndarray, tree: KdTree, matrix: np.ndarray, q: np.ndarray, own, k: int, limit: float):
-    """The k nearest (distance, id) of q that the method finds; own is left out.
+    """The k nearest (distance, id) of q that the method finds, each id once; own is left out.
 
     Rows come nearest first by projection, a leaf at a time, and are verified by their true
     distance. It ends once a row with the k-th true distance would, with the wanted
@@ -96,7 +96,10 @@ def search(vectors: np.ndarray, ids: np.ndarray, tree: KdTree, matrix: np.ndarra
         dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         near = np.flatnonzero((dist <= worst) & (ids[rows] != own))
         if len(near):
-            best = sorted(best + list(zip(dist[near].tolist(), ids[rows[near]].tolist(), strict=True)))[:k]
+            first: dict[int, float] = {}
+            for d, i in sorted(best + list(zip(dist[near].tolist(), ids[rows[near]].tolist(), strict=True))):
+                first.setdefault(i, d)
+            best = [(d, i) for i, d in first.items()][:k]
             worst = best[-1][0] if len(best) == k else np.inf
     return best
 
@@ -108,11 +111,13 @@ def _searcher(k: int, m: int, confidence: float):
             return schema.empty_table()
         flat = lambda t: np.stack([x.values.to_numpy() for x in t.column("vector")]).astype(np.float64)
         vectors, ids = flat(index), index.column("vec_id").to_numpy()
-        # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
+        # Repeated rows go first; of equal vectors only the k + 1 smallest ids can then be among
+        # a query's k nearest.
         order = np.argsort(ids, kind="stable")
         vectors, ids = vectors[order], ids[order]
         _, same = np.unique(vectors, axis=0, return_inverse=True)
         by = np.argsort(same.reshape(-1), kind="stable")
+        by = by[np.append(True, (np.diff(same.reshape(-1)[by]) != 0) | (np.diff(ids[by]) != 0))]
         starts = np.flatnonzero(np.append(True, np.diff(same.reshape(-1)[by]) != 0))
         place = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
         keep = np.sort(by[place <= k])
@@ -141,7 +146,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, m: int = DIMENSIO
 
     index and queries: valid_vectors(); a query is compared with vectors of its own length
     only, and not with rows of its own id. score is the Euclidean distance in double
-    precision, ties go to the smaller id, repeated rows of an id count once. With fewer than
+    precision, ties go to the smaller id. Rows of one id count once, by the least distance. With fewer than
     k rows, all are returned; with none, no row.
 
     Vectors are dealt by a hash of their id into shards of about SHARD rows, each with a
@@ -157,7 +162,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, m: int = DIMENSIO
     left = index.select("vec_id", "vector", "d", place.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = queries.select("vec_id", "vector", "d", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     found = left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")).applyInArrow(_searcher(k, m, confidence), "query_id bigint, vec_id bigint, score double")
-    best = found.distinct().withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -344,3 +344,26 @@ def test_nearest(spark):
         assert q < 900 or [i for _, i, _ in rs] == want
     assert hit >= 0.9 * 10 * len(got)
     assert ann.search_table(df.limit(0)).count() == 0
+
+
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 8))
+    # Those near the queries stand 30 times; one id has two vectors.
+    rows = [(i, x.tolist()) for i, x in enumerate(v) for _ in range(30 if i < 40 else 1)] + [(7, v[100].tolist()), (200, v[200].tolist())]
+    for q in (0, 100, 200, 300):
+        rows += [(1000 + q + j + 1, (v[q] + 0.01 * j).tolist()) for j in range(3) for _ in range(25)]
+    at, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for r in ann.search_table(df, confidence=1 - 1e-12).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 300}
+    for q, rs in got.items():
+        least: dict[int, float] = {}
+        for i, d in zip(at.tolist(), np.sqrt(((x - v[q]) ** 2).sum(1)).tolist(), strict=True):
+            if i != q:
+                least[i] = min(d, least.get(i, d))
+        want = sorted((d, i) for i, d in least.items())[:10]
+        assert [(k, i) for k, i, _ in sorted(rs)] == [(k, i) for k, (_, i) in enumerate(want, 1)]
+        assert np.allclose([s for *_, s in sorted(rs)], [d for d, _ in want])
