@@ -36,7 +36,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending doc_id order, read back: one row per document of the mix."""
-    return token_codec.round_trip(docs, tokenizer_path())
+    return token_codec.round_trip(docs, tokenizer_path(), plain=False)
 
 
 STAGES = [

@@ -193,9 +193,12 @@ class Encoder:
     encoded on their own. Repeated pieces are encoded once while the memory holds them. It has
     two generations: when the young one has `most` entries it becomes the old one, whose
     entries move back as they are met again. This changes time only, not ids.
+
+    With plain, the names of special tokens in a text are encoded as any other characters;
+    without, as the library does by default, each is its one id.
     """
 
-    def __init__(self, path: str, most: int = 400_000, run_chars: int = 2_000_000):
+    def __init__(self, path: str, most: int = 400_000, run_chars: int = 2_000_000, plain: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -203,7 +206,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = plain
         self.model.no_truncation()
         self.model.no_padding()
         self.size = self.model.get_vocab_size()
@@ -309,11 +312,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = True) -> Encoder:
     state = worker_state()
-    if ("encoder", path) not in state:
-        state["encoder", path] = Encoder(path)
-    return state["encoder", path]
+    if ("encoder", path, plain) not in state:
+        state["encoder", path, plain] = Encoder(path, plain=plain)
+    return state["encoder", path, plain]
 
 
 def open_fs(path: str):

@@ -45,7 +45,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), plain=False)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,14 +280,14 @@ def read_file(source):
         start += count
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, plain: bool):
     def write(batches):
         import uuid
 
         from pyspark import TaskContext
 
         fs = path = out = None
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, plain), np.array([end_id], "<u4").tobytes()
 
         def documents(first):
             for batch in first:
@@ -325,19 +325,19 @@ def _read(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([row["before"] + s for s in starts], pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", plain: bool = True) -> DataFrame:
     """Encode whole texts and write their ids in ascending order of doc_id; the manifest.
 
     Each range partition becomes one file under folder (default: a new one in the shared
     folder). Manifest: part (the file's place in the order), path, n_docs, n_ids, before (ids
     of all files before it). Each document ends with end_id. Null texts are empty texts; null
     ids come first; equal ids are in order of their texts. A lost executor's files are written
-    again under other names; only files that the manifest names count.
+    again under other names; only files that the manifest names count. plain: see Encoder.
     """
     folder = folder or new_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
-    files = written(dealt.mapInArrow(_writer(folder, tokenizer, end_id), "part bigint, path string, n_docs bigint, n_ids bigint"), "token-files")
+    files = written(dealt.mapInArrow(_writer(folder, tokenizer, end_id, plain), "part bigint, path string, n_docs bigint, n_ids bigint"), "token-files")
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("before", before)
 
@@ -349,6 +349,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", plain: bool = True) -> DataFrame:
     """write_tokens(), then read_tokens(). Empty input gives no files and no rows."""
-    return read_tokens(write_tokens(docs, tokenizer, None, end_id, id_col))
+    return read_tokens(write_tokens(docs, tokenizer, None, end_id, id_col, plain))

@@ -131,6 +131,28 @@ def test_tokens(spark, odd, none, tmp_path):
     assert token_codec.round_trip(odd, path).count() == len(ODD) == eod_scan.token_counts(odd, path).count()
 
 
+def test_token_files_hold_what_the_library_encodes(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.tokenizer_path())
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, f"{e} a", f"a{e}b, c{e}.", f"x  {e}  y\n{e}\n", f"{e}{e} {e}", f"({e}) '{e}' |{e}> ", "<|endoftext |> <|endof text|>", "plain words, as ever", ""] + [f"w{i} {e}{'.' * (i % 3)} w{i}{e} w" for i in range(50)]
+    plain = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert plain[0] == [64, 220, 50256, 275]
+    d = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    at, want = 0, {}
+    for i, ids in enumerate(plain):
+        want[i] = (at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+        at += len(ids) + 1
+    for out in (queries.op6_token_files(spark, str(tmp_path)), corpus_pipeline.token_output(spark, d, str(tmp_path))):
+        assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in out.collect()} == want
+    # op4's separator is that id: a text that names it stays one document.
+    counts = {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    assert counts[0] == 9 and len(counts) == len(texts)
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_flat_files(spark, tmp_path, block):
     rng = np.random.default_rng(block)
