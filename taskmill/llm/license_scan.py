@@ -113,7 +113,7 @@ def matching_blocks(docs: DataFrame, key: Column, templates=TEMPLATES, containme
     line that has `need` of `n` tokens has one of the first n - need + 1: only lines that hold
     such a prefix token are looked at (prefix filter), they must have `need` words (length
     filter), and if a line's first match is at place p, no more than n - p tokens can be shared
-    (positional filter). The overlap of what remains is counted exactly.
+    (positional filter; it removes nothing, as p is at most n - need). The overlap of what remains is counted exactly.
     """
     spark: SparkSession = docs.sparkSession
     ordered = ordered_templates(docs, templates, containment)
