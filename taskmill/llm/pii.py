@@ -73,7 +73,7 @@ _GENERATORS = (
     (1, re.compile(rb"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}+:){3,7}+:?[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])")),
     (2, re.compile(rb"(?<![0-9.,-])[0-9]{4}+[ .-][0-9]{4,6}+[ .-][0-9]{4,5}+(?:[ .-][0-9]{3,4}+)?(?![0-9])")),
     (3, re.compile(rb"(?<![0-9.,-])(?:\+?[0-9]{1,3}+[ .-])?\(?[0-9]{2,4}+\)?[ ./-][0-9]{3,4}+[ .-][0-9]{3,4}+(?![0-9.,-])")),
-    (4, re.compile(rb"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,512}+=?")),
+    (4, re.compile(rb"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+=?")),
 )
 _MAY_AT = re.compile(rb"(?i)[ (\[]at[ )\]]")
 _WORDS = ((b"mail", b"contact", b"write"), (b"ip", b"host", b"addr", b"server"), (b"card", b"visa", b"pay", b"credit"), (b"phone", b"tel", b"call", b"fax", b"mobile"), (b"key", b"token", b"secret", b"passw", b"auth", b"bearer"))

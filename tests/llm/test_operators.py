@@ -109,6 +109,13 @@ def test_pii(spark, odd, none):
     assert "<secret>" in pii.redacted(docs(spark, [(1, t, None)])).first().text
 
 
+def test_long_secrets_are_spanned_whole(spark):
+    key = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20))
+    d = docs(spark, [(1, f'my token = "{key}" ends', None)])
+    assert f"secret:12:{12 + len(key)}" in pii.find_pii(d).first().spans.split(",")
+    assert pii.redacted(d).first().text == 'my token = "<secret>" ends'
+
+
 def test_tokens(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
