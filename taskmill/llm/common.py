@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 import tempfile
 import types
 import uuid
-from itertools import chain, compress, count, filterfalse
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -181,26 +181,42 @@ def shingles(hashes: np.ndarray, row: np.ndarray, k: int):
 # ---------------------------------------------------------------- token ids
 
 
-#: Marks that the byte-level pre-tokenizer parts from the word before them.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Classes of bytes for the cuts of Encoder: 0 beyond ASCII, 1 Latin letter, 2 digit, 3 mark, 4 apostrophe,
+#: 5 space, 6 other white space, 7 what may be or begin a character that counts as white space,
+#: 8 first byte of a Latin letter of two bytes, 9 a later byte of a character.
+_KINDS = bytearray(256)
+for _c in range(256):
+    _KINDS[_c] = 1 if 0x41 <= _c <= 0x5A or 0x61 <= _c <= 0x7A else 2 if 0x30 <= _c <= 0x39 else 4 if _c == 0x27 else 5 if _c == 0x20 else 6 if 0x09 <= _c <= 0x0D else 7 if _c < 0x20 or _c in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) else 3 if _c < 0x7F else 9 if _c < 0xC0 else 8 if 0xC3 <= _c <= 0xC8 else 0
+_KINDS = bytes(_KINDS)
+_SHOWN = (0, 1, 2, 3, 4, 8)
+
+
+def _pair(one: int, two: int) -> int:
+    """What two neighbouring bytes of these classes allow: 1 a cut before the first, 2 a cut
+    between them, 4 a cut between them if there is one before the first."""
+    ends = {1: (2, 3, 4, 5, 6), 2: (1, 3, 4, 5, 6), 3: (1, 2, 5, 6), 4: (5, 6)}
+    return (one == 5 and two in _SHOWN) | (two in ends.get(one, ())) << 1 | (one == 6 and two in _SHOWN) << 2
+
+
+_PAIRS = bytes(_pair(c >> 4, c & 15) for c in range(256))
 
 
 class Encoder:
-    """Token ids of whole texts, by the tokenizers library, with a memory of words.
+    """Token ids of whole texts, by the tokenizers library, with a memory of pieces.
 
-    A text is cut at each single space that stands between two visible characters:
-    there the byte-level pre-tokenizer always begins a new piece, so that the pieces can be
-    encoded on their own. Repeated pieces are encoded once while the memory holds them. It has
-    two generations: when the young one has `most` entries it becomes the old one, whose
-    entries move back as they are met again. This changes time only, not ids.
+    A byte-level pre-tokenizer parts a text by a pattern that never looks back. So a text can be
+    cut, and the pieces encoded on their own, where one of its parts always ends: before a
+    space in front of a visible character, behind a run of Latin letters, of digits or of marks,
+    and around a single line break. Pieces of many texts are told apart at once, each
+    distinct one is encoded once while the memory holds it; at `most` pieces it starts anew.
+    Texts with names of added tokens, and all texts of other tokenizers, are one piece each.
+    None of this changes ids.
 
     With plain, the names of special tokens in a text are encoded as any other characters;
     without, as the library does by default, each is its one id.
     """
 
-    def __init__(self, path: str, most: int = 400_000, run_chars: int = 2_000_000, plain: bool = True):
-        import os
-
+    def __init__(self, path: str, most: int = 1_000_000, run_bytes: int = 8 << 20, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -210,106 +226,115 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.size = self.model.get_vocab_size()
-        self.after: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes | None] = {}
-        self.old: dict[str, dict[str, bytes | None]] = {"after": {}, "first": {}, "marks": {}}
-        self.most, self.run_chars = most, run_chars
-        self.opens = np.zeros(self.size, bool)
-        self.opens[[i for t, i in self.model.get_vocab().items() if t[:1] == "\u0120"]] = True  # a space
-
-    def _learn_run(self, memory: dict, new: list[str]) -> None:
-        """Learn pieces that follow a space, many in one text: a space begins each."""
-        odd = dict.fromkeys(p for p in new if not p or p[-1].isspace() or p[0].isspace())
-        memory.update(odd)
-        fit = [p for p in new if p not in odd] if odd else new
-        runs = [fit[i : i + 500] for i in range(0, len(fit), 500)]
-        for lo in range(0, len(runs), 8):
-            part = runs[lo : lo + 8]
-            for run, e in zip(part, self.model.encode_batch_fast([" " + " ".join(r) for r in part], add_special_tokens=False), strict=True):
+        self.most, self.run_bytes = most, run_bytes
+        self.memory: dict[bytes, bytes] = {}
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values() if not (plain and t.special)]
+        form = json.loads(self.model.to_str())
+        pre, line = form["pre_tokenizer"] or {}, self.model.encode("\n", add_special_tokens=False).ids
+        self.cuts = form["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(line) == 1
+        self.line = line[0] if line else -1
+
+    def _cut(self, data: np.ndarray, offs: np.ndarray, whole: list[int]) -> np.ndarray:
+        """Places where pieces begin; each row that isn't empty begins one."""
+        n = len(data)
+        mask = np.zeros(n + 1, bool)
+        if self.cuts and n > 1:
+            raw = data.tobytes()
+            kind = np.frombuffer(raw.translate(_KINDS), np.uint8).copy()
+            kind[1:] -= (kind[:-1] == 8).view(np.uint8) << 3  # the second byte of a Latin letter: 9 to 1
+            for sign in (b"\xc3\x97", b"\xc3\xb7"):  # two signs among them that are no letters
+                at = raw.find(sign)
+                while at >= 0:
+                    kind[at + 1] = 9
+                    at = raw.find(sign, at + 2)
+            pair = np.frombuffer(((kind[:-1] << 4) | kind[1:]).tobytes().translate(_PAIRS), np.uint8)
+            before = (pair & 1).view(bool)
+            before[(offs[1:] - 1)[(offs[1:] > 0) & (offs[1:] < n)]] = False  # the next byte is another text's
+            mask[1:n] = (pair & 2).view(bool)
+            mask[1:n] |= np.append(False, mask[1 : n - 1] & (pair[1:] & 4).view(bool))
+            mask[: n - 1] |= before
+            for row in whole:
+                mask[offs[row] : offs[row + 1]] = False
+        mask[offs] = True
+        return np.flatnonzero(mask[:n])
+
+    def _holds_added(self, raw: bytes) -> bool:
+        return any(x in raw for x in self.added)
+
+    def _whole(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
+        """Rows that hold the name of an added token."""
+        raw, rows = data.tobytes(), set()
+        for name in self.added:
+            at = raw.find(name)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offs, at, side="right")) - 1)
+                at = raw.find(name, at + len(name))
+        return sorted(rows)
+
+    def _learn(self, new: list[bytes], odd_names: bool) -> dict[bytes, bytes]:
+        """Ids of pieces. Those without white space, but for a space ahead, are encoded many in one
+        text with line breaks between them, each of which is a part of its own."""
+        found: dict[bytes, bytes] = {}
+        fit, odd = [], []
+        for p in new:
+            s = p.decode("utf-8", "replace")
+            bare = s[1:] if s[0] == " " else s
+            (fit if self.cuts and bare.split() == [bare] and not (odd_names and self._holds_added(p)) else odd).append((p, s))
+        for lo in range(0, len(fit), 4000):
+            runs = [fit[i : i + 500] for i in range(lo, min(lo + 4000, len(fit)), 500)]
+            for run, e in zip(runs, self.model.encode_batch_fast(["\n".join([s for _, s in r]) for r in runs], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
-                if len(at) != len(run) + 1:
-                    raise RuntimeError("the tokenizer does not begin a piece at each space")
+                at = np.flatnonzero(ids == self.line)
+                if len(at) != len(run) - 1:
+                    odd += run
+                    continue
                 raw = ids.tobytes()
-                for p, a, b in zip(run, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    memory[p] = raw[a:b]
-
-    def _learn(self, memory: dict, new: list[str], whole: bool = False) -> None:
-        for lo in range(0, len(new), 2000):
-            part = new[lo : lo + 2000]
-            for p, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                # A piece next to more white space isn't cut where the pre-tokenizer cuts.
-                odd = not whole and (not p or p[-1].isspace())
-                memory[p] = None if odd else np.array(e.ids, "<u4").tobytes()
-
-    def _unknown(self, name: str, pieces) -> list[str]:
-        """Those pieces, each once, that neither generation of a memory holds."""
-        young, old = getattr(self, name), self.old[name]
-        new = dict.fromkeys(filterfalse(young.__contains__, pieces))
-        if old:
-            again = [p for p in new if p in old]
-            young.update(zip(again, map(old.__getitem__, again), strict=True))
-            return [p for p in new if p not in old]
-        return list(new)
-
-    def _learn_after(self, new: list[str]) -> None:
-        """Learn pieces; a Latin word and the marks behind it are two pieces of their own."""
-        plain, split = [], []
-        for p in new:
-            word = p.rstrip(MARKS)
-            if len(word) < len(p) and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                split.append((p, word, p[len(word) :]))
-            else:
-                plain.append(p)
-        self._learn_run(self.after, plain)
-        words = self._unknown("after", (w for _, w, _ in split))
-        self._learn_run(self.after, words)
-        self._learn(self.marks, self._unknown("marks", (m for *_, m in split)), True)
-        after, marks = self.after, self.marks
-        for p, word, m in split:
-            after[p] = after[word] + marks[m]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        lo = chars = 0
-        for hi, text in enumerate(texts):
-            chars += len(text)
-            if chars > self.run_chars:
-                out += self._batch(texts[lo : hi + 1])
-                lo, chars = hi + 1, 0
-        return out + self._batch(texts[lo:])
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        import re
-
-        for name in self.old:
-            if len(getattr(self, name)) > self.most:
-                self.old[name] = getattr(self, name)
-                setattr(self, name, {})
-        cut = [x.split(" ") for x in texts]
-        heads = [c.pop(0) for c in cut]
-        self._learn(self.first, self._unknown("first", heads))
-        pieces = list(chain.from_iterable(cut))
-        after = self.after
-        ids = list(map(after.get, pieces))
-        holes = list(compress(count(), map(not_, ids)))
-        self._learn_after(self._unknown("after", map(pieces.__getitem__, holes)))
-        for i in holes:
-            ids[i] = after[pieces[i]]
-        out, lo = [], 0
-        for text, head, c in zip(texts, heads, cut, strict=True):
-            hi = lo + len(c)
-            try:
-                out.append(self.first[head] + b"".join(ids[lo:hi]))
-            except TypeError:
-                rest: dict[str, bytes] = {}
-                parts = re.split(r"(?<=\S)(?= \S)", text) if text else []
-                self._learn(rest, list(dict.fromkeys(parts)), True)
-                out.append(b"".join([rest[p] for p in parts]))
-            lo = hi
-        return out
+                for (p, _), a, b in zip(run, [0, *(at * 4 + 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True):
+                    found[p] = raw[a:b]
+        for lo in range(0, len(odd), 500):
+            part = odd[lo : lo + 500]
+            for (p, _), e in zip(part, self.model.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+                found[p] = np.array(e.ids, "<u4").tobytes()
+        return found
+
+    def _run(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = self._whole(data, offs) if self.added else []
+        begins = self._cut(data, offs, whole)
+        if not len(begins):
+            return np.zeros(0, "<u4"), np.zeros(len(offs) - 1, np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        at, edges = pieces.indices.to_numpy(), np.frombuffer(pieces.dictionary.buffers()[1], np.int64)[: len(pieces.dictionary) + 1].tolist()
+        raw = pieces.dictionary.buffers()[2].to_pybytes()
+        distinct = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        if len(self.memory) > self.most:
+            self.memory.clear()
+        ids = list(map(self.memory.get, distinct))
+        new = [i for i, x in enumerate(ids) if x is None]
+        found = self._learn([distinct[i] for i in new], bool(whole))
+        for i in new:
+            ids[i] = found[distinct[i]]
+        self.memory.update((p, x) for p, x in found.items() if len(p) <= 64)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        each = size[at]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(start[at] - (ends - each), each) + np.arange(ends[-1])]
+        upto = np.append(0, ends)[np.searchsorted(begins, offs)]
+        return out, np.diff(upto)
+
+    def runs(self, texts: pa.Array):
+        """Yield (first row, ids of the rows one after the other, their numbers) of runs of rows."""
+        for lo, data, offs in string_parts(texts, self.run_bytes):
+            yield lo, *self._run(data, offs)
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """ids with end_id behind each row's."""
+    out = np.full(len(ids) + len(counts), end_id, ids.dtype)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(counts + 1) - 1] = False
+    out[inner] = ids
+    return out
 
 
 def encoder(path: str, plain: bool = True) -> Encoder:

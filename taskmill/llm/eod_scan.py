@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import encoder, new_path, open_fs, text_of, written
+from taskmill.llm.common import encoder, new_path, open_fs, text_of, with_end, written
 
 #: Ids of a block that is searched at once.
 BLOCK_IDS = 4 << 20
@@ -18,7 +18,9 @@ def _flat_writer(folder: str, tokenizer: str, end_id: int, kind: str):
     def write(batches):
         import uuid
 
-        encode, end = encoder(tokenizer), np.array([end_id], kind).tobytes()
+        encode = encoder(tokenizer)
+        if max(encode.size - 1, end_id) > np.iinfo(kind).max:
+            raise ValueError(f"ids up to {max(encode.size - 1, end_id)} do not fit {kind}")
         out = path = None
         at = 0
         try:
@@ -31,9 +33,8 @@ def _flat_writer(folder: str, tokenizer: str, end_id: int, kind: str):
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(inner)
                 names, texts = batch.column(0), batch.column(1)
-                for lo in range(0, len(names), 256):
-                    part = encode.batch(texts.slice(lo, 256).to_pylist())
-                    out.write(b"".join(np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in part))
+                for _, ids, counts in encode.runs(texts):
+                    out.write(with_end(ids.astype(kind), counts, end_id).tobytes())
                 n = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(at, at + n)), names], ["path", "ordinal", "id"])
                 at += n

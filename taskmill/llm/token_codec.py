@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import encoder, new_path, open_fs, text_of, written
+from taskmill.llm.common import encoder, new_path, open_fs, text_of, with_end, written
 
 BLOCK_IDS, LANE_IDS, MOST_LANES = 1 << 20, 256, 4096
 #: Ids must be below this, so that order 0 can give a share to each and predictions keep theirs.
@@ -19,14 +19,28 @@ MOST_VOCABULARY = 1 << 22
 #: Least bits of the shares of ids in order 0; the shares of the three predictions have the rest of 32.
 _ID_BITS = 20
 _HASH_BITS = 18
-#: Steps between two updates of order 0, once the first of that number are over.
-_REFRESH = 8
+#: Steps that each renew order 0; later ones do so once half as many more are over.
+_EAGER = 8
 _WORD, _HALF = np.uint64(32), np.uint64(0xFFFFFFFF)
 #: Forms of the head of a block and of the end of a file.
 _BLOCK, _TAIL = "<4sIIIIII", "<QII8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_BLOCK), struct.calcsize(_TAIL)
 
 
+def _trust_steps() -> tuple[np.ndarray, ...]:
+    """For each slot (trusts of orders 2 and 1, whether they agree, which was right): whether
+    an entry stays, and by how much it changes, of order 2 and of order 1."""
+    slot = np.arange(128)
+    kind, same, one, two = slot & 3, slot >> 2 & 1, slot >> 3 & 3, slot >> 5
+    out = []
+    for trust, hit in ((two, kind == 0), (one, (kind == 1) | (kind == 0) & (same == 1))):
+        out += [hit | (trust > 1), np.where(hit, trust < 3, -1).astype(np.int32)]
+    return tuple(out)
+
+
+_STAYS_TWO, _STEP_TWO, _STAYS_ONE, _STEP_ONE = _trust_steps()
+
+
 class Mixture:
     """Predictions of orders 0 to 2, the same for the coder and the decoder.
 
@@ -34,61 +48,77 @@ class Mixture:
     ids, with a trust from 0 to 3; a table holds 4 x id + trust. For each pair of trusts the
     mixture learns how often either is right; what is left goes to order 0, the counts of the
     ids that neither foretold. All lanes of a block code one id per step and share the model.
+
+    A slot is 4 x context + kind: kind 0 is order 2's id, 1 order 1's, 2 any other. It has a
+    start and a size in shares, and so has each id in order 0; the id behind the last
+    stands for all of them, where a guess is right.
     """
 
-    def __init__(self, vocabulary: int, lanes: int):
+    def __init__(self, vocabulary: int, lanes: int, inverse: bool = False):
         self.v = vocabulary
         self.id_bits = max(_ID_BITS, vocabulary.bit_length() + 1)
         self.mix_bits = 32 - self.id_bits
         self.count = np.ones(vocabulary, np.int64)
         self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
-        self.weights = np.tile(np.array([2, 1, 4], np.int64), (32, 1))
-        self.p1, self.p2 = np.full(lanes, vocabulary, np.int64), np.full(lanes, vocabulary, np.int64)
-        self.ends = np.zeros(vocabulary + 1, np.int64)
-        self.missed, self.step = [], 0
-        self._refresh()
-
-    def _refresh(self) -> None:
+        self.weights = np.tile(np.array([2, 1, 4, 0], np.int64), 32)
+        self.p1, self.p2 = np.full(lanes, vocabulary, np.int32), np.full(lanes, vocabulary, np.int32)
+        self.low, self.width = np.zeros(vocabulary + 1, np.uint64), np.full(vocabulary + 1, 1 << self.id_bits, np.uint64)
+        self.start, self.size = np.zeros(128, np.uint64), np.zeros(128, np.uint64)
+        self.missed, self.step, self.renew = [], 0, 0
+        self.inverse = np.zeros(0, np.int32) if inverse else None
+        self._order_zero()
+        self._mix()
+
+    def _order_zero(self) -> None:
         """Shares of ids in order 0, at least 1 each, with the sum 2^id_bits."""
         if self.missed:
-            self.count += np.bincount(np.concatenate(self.missed), minlength=self.v) * 16
+            self.count += np.bincount(np.concatenate(self.missed), minlength=self.v + 1)[: self.v] * 16
             self.missed = []
         free = (1 << self.id_bits) - self.v
-        np.cumsum(self.count * free // int(self.count.sum()) + 1, out=self.ends[1:])
-        self.ends[-1] = 1 << self.id_bits
-
-    def predict(self, k: int):
-        """Where the shares of orders 2 and 1 end, of 2^mix_bits; guesses in self.a and self.b."""
+        share = self.count * free // int(self.count.sum()) + 1
+        share[-1] += (1 << self.id_bits) - share.sum()
+        self.width[:-1] = share
+        np.cumsum(share[:-1], out=self.low[1:-1].view(np.int64))
+        if self.inverse is not None:
+            self.inverse = np.repeat(np.arange(self.v, dtype=np.uint16 if self.v <= 1 << 16 else np.int32), share)
+
+    def _mix(self) -> None:
+        """Shares of the kinds in each context, at least 1 each, with the sum 2^mix_bits."""
+        w = self.weights.reshape(32, 4)
+        share = w[:, :2] * ((1 << self.mix_bits) - 3) // w.sum(1, keepdims=True) + 1
+        start, size = self.start.reshape(32, 4), self.size.reshape(32, 4)
+        size[:, :2] = share
+        start[:, 1], start[:, 2] = share[:, 0], share[:, 0] + share[:, 1]
+        size[:, 2] = (1 << self.mix_bits) - share[:, 0] - share[:, 1]
+        start <<= np.uint64(self.id_bits)
+
+    def predict(self, k: int) -> np.ndarray:
+        """The first slot of each lane's context; guesses in self.a and self.b."""
         p1 = self.p1[:k]
-        self.h = ((p1 * 0x2C1B3C6D + self.p2[:k] * 0x297A2D39) >> 7) & ((1 << _HASH_BITS) - 1)
+        self.h = (p1.view(np.uint32) * np.uint32(0x9E3779B1) + self.p2[:k].view(np.uint32) * np.uint32(0x297A2D39)) >> np.uint32(32 - _HASH_BITS)
         self.at_two, self.at_one = self.two[self.h], self.one[p1]
         self.a, self.b = self.at_two >> 2, self.at_one >> 2
-        self.context = ((self.at_two & 3) * 4 + (self.at_one & 3)) * 2 + (self.a == self.b)
-        share = np.cumsum(self.weights[:, :2] * ((1 << self.mix_bits) - 3) // self.weights.sum(1, keepdims=True) + 1, axis=1)
-        return share[:, 0][self.context], share[:, 1][self.context]
-
-    def ids_at(self, share: np.ndarray) -> np.ndarray:
-        """The ids whose shares of order 0 hold these places; sorted places are found faster."""
-        k = len(share)
-        ranked = np.sort(share * k + np.arange(k))
-        out = np.empty(k, np.int64)
-        out[ranked % max(k, 1)] = np.searchsorted(self.ends, ranked // max(k, 1), side="right") - 1
-        return out
-
-    def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
-        self.weights += np.bincount(self.context * 3 + kind, minlength=96).reshape(32, 3) * 2
-        full = self.weights.sum(1) > 1 << 15
-        if full.any():
-            self.weights[full] = (self.weights[full] >> 1) | 1
-        self.missed.append(x[kind == 2])
+        context = ((self.at_two & 3) << 5) + ((self.at_one & 3) << 3)
+        context += (self.a == self.b).view(np.uint8) << 2
+        return context
+
+    def learn(self, x: np.ndarray, y: np.ndarray, slot: np.ndarray) -> None:
+        """x: the ids; y: the same in order 0, the id behind the last where a guess was right."""
+        self.weights += np.bincount(slot, minlength=128) * 2
+        self.missed.append(y)
         self.step += 1
-        if self.step <= _REFRESH or self.step % _REFRESH == 0:
-            self._refresh()
+        if self.step <= _EAGER or self.step >= self.renew:
+            self.renew = self.step + self.step // 2
+            self._order_zero()
+        if self.step <= 4 * _EAGER or self.step % 4 == 0:
+            w = self.weights.reshape(32, 4)
+            full = w.sum(1) > 1 << 15
+            w[full] = (w[full] >> 1) | np.array([1, 1, 1, 0])
+            self._mix()
         k = len(x)
-        p1, fresh = self.p1[:k], (x * 4 + 1).astype(np.int32)
-        for had, guess, table, at in ((self.at_two, self.a, self.two, self.h), (self.at_one, self.b, self.one, p1)):
-            trust = had & 3
-            table[at] = np.where(x == guess, np.where(trust == 0, fresh, had + (trust < 3)), np.where(trust > 1, had - 1, fresh))
+        p1, fresh = self.p1[:k], (x << 2) + 1
+        self.two[self.h] = np.where(_STAYS_TWO[slot], self.at_two + _STEP_TWO[slot], fresh)
+        self.one[p1] = np.where(_STAYS_ONE[slot], self.at_one + _STEP_ONE[slot], fresh)
         self.p2[:k] = p1
         self.p1[:k] = x
 
@@ -120,12 +150,11 @@ def encode_block(ids: np.ndarray) -> bytes:
     if n > BLOCK_IDS:
         raise ValueError(f"a block holds at most {BLOCK_IDS} ids")
     lanes, steps = _lanes(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     last = n - (lanes - 1) * steps
     model = Mixture(vocabulary, lanes)
-    id_bits, mix_bits = model.id_bits, model.mix_bits
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
     width = steps + 1
     words = np.zeros(lanes * width, "<u4")
@@ -134,28 +163,24 @@ def encode_block(ids: np.ndarray) -> bytes:
     for t in range(steps):
         k = lanes if t < last else lanes - 1
         x = grid[t, :k]
-        e0, e1 = model.predict(k)
-        is_two = x == model.a
-        kind = np.where(is_two, 0, 2 - (x == model.b))
-        start, size = np.where(is_two, 0, e0) << id_bits, np.where(is_two, e0, e1 - e0) << id_bits
-        missed = np.flatnonzero(kind == 2)
-        y, base = x[missed], e1[missed]
-        rest, lower = (1 << mix_bits) - base, model.ends[y]
-        start[missed] = (base << id_bits) + rest * lower
-        size[missed] = rest * (model.ends[y + 1] - lower)
+        context = model.predict(k)
+        kind = (x != model.a).view(np.uint8) * ((x != model.b).view(np.uint8) + np.uint8(1))
+        slot = context.astype(np.intp) + kind
+        y = np.where(kind == 2, x, np.int32(vocabulary))
+        size = model.size[slot]
         lo, rg = low[:k], rng[:k]
         r = rg >> _WORD
-        lo += r * start.view(np.uint64)
-        np.multiply(r, size.view(np.uint64), out=rg)
+        lo += r * (model.start[slot] + size * model.low[y])
+        np.multiply(r, size * model.width[y], out=rg)
         at, word = _settle(lo, rg)
         words[place[at]] = word
         place[at] += 1
-        model.learn(x, kind)
+        model.learn(x, y, slot)
     # The first word in the range that needs no more bits; those behind it are read as 0.
     words[place] = (low + _HALF) >> _WORD
     used = place + 1 - begin
     body = used.astype("<u2").tobytes() + words.reshape(lanes, width)[np.arange(width)[None, :] < used[:, None]].tobytes()
-    return struct.pack(_BLOCK, b"MIXB", n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(body), zlib.crc32(body)) + body
+    return struct.pack(_BLOCK, b"MIXC", n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(body), zlib.crc32(body)) + body
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -163,7 +188,7 @@ def decode_block(block: bytes) -> np.ndarray:
     if len(block) < _HEAD_BYTES:
         raise ValueError("a token block is cut off")
     magic, n, lanes, vocabulary, crc, size, whole = struct.unpack_from(_BLOCK, block)
-    if magic != b"MIXB" or len(block) < _HEAD_BYTES + size or not n or lanes != _lanes(n)[0] or zlib.crc32(block[_HEAD_BYTES : _HEAD_BYTES + size]) != whole:
+    if magic != b"MIXC" or len(block) < _HEAD_BYTES + size or not n or lanes != _lanes(n)[0] or zlib.crc32(block[_HEAD_BYTES : _HEAD_BYTES + size]) != whole:
         raise ValueError("not a whole token block")
     steps = _lanes(n)[1]
     used = np.frombuffer(block, "<u2", lanes, _HEAD_BYTES).astype(np.int64)
@@ -171,8 +196,8 @@ def decode_block(block: bytes) -> np.ndarray:
     end = np.cumsum(used)
     place = end - used
     last = n - (lanes - 1) * steps
-    model = Mixture(vocabulary, lanes)
-    id_bits, mix_bits = model.id_bits, model.mix_bits
+    model = Mixture(vocabulary, lanes, inverse=True)
+    most = np.uint64((1 << model.id_bits) - 1)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, np.uint64)
     nothing = len(words) - 1
 
@@ -184,31 +209,24 @@ def decode_block(block: bytes) -> np.ndarray:
     everyone = np.arange(lanes)
     for _ in range(2):
         code = (code << _WORD) | following(everyone)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         k = lanes if t < last else lanes - 1
-        e0, e1 = model.predict(k)
+        context = model.predict(k).astype(np.intp)
         lo, rg, cd = low[:k], rng[:k], code[:k]
         r = rg >> _WORD
-        v = np.minimum((cd - lo) // r, _HALF).view(np.int64)
-        share = v >> id_bits
-        kind = (share >= e0).astype(np.int64) + (share >= e1)
-        is_two = kind == 0
-        x = np.where(is_two, model.a, model.b).astype(np.int64)
-        start, size = np.where(is_two, 0, e0) << id_bits, np.where(is_two, e0, e1 - e0) << id_bits
-        missed = np.flatnonzero(kind == 2)
-        base = e1[missed]
-        rest = (1 << mix_bits) - base
-        y = model.ids_at((v[missed] - (base << id_bits)) // rest)
-        lower = model.ends[y]
-        x[missed] = y
-        start[missed] = (base << id_bits) + rest * lower
-        size[missed] = rest * (model.ends[y + 1] - lower)
-        lo += r * start.view(np.uint64)
-        np.multiply(r, size.view(np.uint64), out=rg)
+        v = np.minimum((cd - lo) // r, _HALF)
+        kind = (v >= model.start[context + 1]).view(np.uint8) + (v >= model.start[context + 2]).view(np.uint8)
+        slot = context + kind
+        size, start = model.size[slot], model.start[slot]
+        other = kind == 2
+        y = np.where(other, model.inverse[np.minimum((v - start) // size, most)].astype(np.int32), np.int32(vocabulary))
+        x = np.where(other, y, np.where(kind == 1, model.b, model.a))
+        lo += r * (start + size * model.low[y])
+        np.multiply(r, size * model.width[y], out=rg)
         at, _ = _settle(lo, rg)
         cd[at] = (cd[at] << _WORD) | following(at)
-        model.learn(x, kind)
+        model.learn(x, y, slot)
         grid[t, :k] = x
     ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
@@ -216,8 +234,9 @@ def decode_block(block: bytes) -> np.ndarray:
     return ids
 
 
-def write_file(out, documents) -> tuple[int, int]:
-    """Write (doc_id or None, ids as little-endian u4 bytes) pairs; number of documents and ids.
+def write_file(out, runs) -> tuple[int, int]:
+    """Write runs of documents (their ids or None, all token ids one after the other, how many
+    each document has); number of documents and ids.
 
     A file is blocks, then the table of documents (ids and sizes) and of blocks, packed and
     checksummed, then where that table begins.
@@ -227,28 +246,28 @@ def write_file(out, documents) -> tuple[int, int]:
 
     def flush(final: bool):
         nonlocal held, have, at
-        raw = b"".join(held)
-        lo = 0
-        while len(raw) - lo >= 4 * BLOCK_IDS or final and lo < len(raw):
-            block = encode_block(np.frombuffer(raw, "<u4", min(BLOCK_IDS, (len(raw) - lo) // 4), lo))
+        ids, lo = np.concatenate(held) if held else np.zeros(0, "<u4"), 0
+        while len(ids) - lo >= BLOCK_IDS or final and lo < len(ids):
+            block = encode_block(ids[lo : lo + BLOCK_IDS])
             out.write(block)
             places.append(at)
             at += len(block)
-            lo += 4 * BLOCK_IDS
-        held, have = [raw[lo:]], max(0, len(raw) - lo)
-
-    for name, ids in documents:
-        names.append(0 if name is None else name)
-        known.append(name is not None)
-        sizes.append(len(ids) // 4)
-        held.append(ids)
-        have += len(ids)
-        if have >= 4 * BLOCK_IDS:
+            lo += BLOCK_IDS
+        held, have = [ids[lo:]], max(0, len(ids) - lo)
+
+    for ids_of, tokens, counts in runs:
+        names.append(np.array([0 if x is None else x for x in ids_of], "<i8"))
+        known.append(np.array([x is not None for x in ids_of], "<i8"))
+        sizes.append(np.asarray(counts, "<i8"))
+        held.append(np.asarray(tokens, "<u4"))
+        have += len(tokens)
+        if have >= BLOCK_IDS:
             flush(False)
     flush(True)
-    table = zlib.compress(np.array([len(names), len(places)], "<i8").tobytes() + np.array(names, "<i8").tobytes() + np.array(known, "<i8").tobytes() + np.array(sizes, "<i8").tobytes() + np.array(places, "<i8").tobytes(), 1)
+    columns = [np.concatenate(x) if x else np.zeros(0, "<i8") for x in (names, known, sizes)]
+    table = zlib.compress(b"".join(x.tobytes() for x in (np.array([len(columns[0]), len(places)], "<i8"), *columns, np.array(places, "<i8"))), 1)
     out.write(table + struct.pack(_TAIL, at, len(table), zlib.crc32(table), b"MIXFILE1"))
-    return len(names), int(sum(sizes))
+    return len(columns[0]), int(columns[2].sum())
 
 
 def read_file(source):
@@ -287,14 +306,12 @@ def _writer(folder: str, tokenizer: str, end_id: int, plain: bool):
         from pyspark import TaskContext
 
         fs = path = out = None
-        encode, end = encoder(tokenizer, plain), np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer, plain)
 
         def documents(first):
             for batch in first:
-                names, texts = batch.column(0).to_pylist(), batch.column(1)
-                for lo in range(0, len(names), 256):
-                    for name, ids in zip(names[lo : lo + 256], encode.batch(texts.slice(lo, 256).to_pylist()), strict=True):
-                        yield name, ids + end
+                for lo, ids, counts in encode.runs(batch.column(1)):
+                    yield batch.column(0).slice(lo, len(counts)).to_pylist(), with_end(ids, counts, end_id), counts + 1
 
         import itertools
 

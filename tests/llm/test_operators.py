@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,33 @@ def test_long_secrets_are_spanned_whole(spark):
     assert pii.redacted(d).first().text == 'my token = "<secret>" ends'
 
 
+def encoded(encoder, texts):
+    out = []
+    for _, ids, counts in encoder.runs(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_pieces_are_encoded_as_whole_texts(plain):
+    """Cuts change no ids: against the library on whole texts, with small runs and a small memory."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.tokenizer_path())
+    model.encode_special_tokens = plain
+    rng = np.random.default_rng(8)
+    bits = ["a", "b", "word", "Z", "é", "ß", "×", "÷", "ɐ", "ﬁ", "中", "слово", "한", "हि", "́", "😀", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x85", "\xa0", "　", "​", "\x1c", "\x1f", "\0", "\x7f", "'", "'s", "'re", "'ll", "''", '"', ",", ".", "(", ")", "…", "“", "1", "23", "½", "५", "-", "_", "<|endoftext|>", "<|", "|>"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(5000)] + ["", "word " * 3000, "x" * 9000]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    mine = common.Encoder(queries.tokenizer_path(), most=2000, run_bytes=3000, plain=plain)
+    assert encoded(mine, texts) == want == encoded(mine, texts)
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    with pytest.raises(Exception, match="do not fit"):
+        eod_scan.token_counts(docs(spark, [(1, "a", None)]), queries.tokenizer_path(), kind="u1").count()
+
+
 def test_tokens(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -125,7 +153,7 @@ def test_tokens(spark, odd, none, tmp_path):
     texts = [*["", " ", "a  b", "a\n b \n", "it 's", "é\x85 b.", "<|endoftext|> a", "words, words; and 12 more!"], *[r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]]
     plain = [model.encode(t, add_special_tokens=False).ids for t in texts]
     mine = common.Encoder(path)
-    assert [np.frombuffer(b, "<u4").tolist() for b in mine.batch(texts)] == plain == [np.frombuffer(b, "<u4").tolist() for b in mine.batch(texts)]
+    assert encoded(mine, texts) == plain == encoded(mine, texts)
     d = docs(spark, [(100 - i, t, None) for i, t in enumerate(texts)] + [(None, None, None)]).repartition(4)
     at, want = 0, {}
     for i, ids in [(None, [])] + [(100 - i, plain[i]) for i in reversed(range(len(texts)))]:
@@ -274,8 +302,6 @@ def test_near_duplicates_of_repeated_shingles(spark):
 
 @pytest.mark.parametrize("lookup", [100, 1 << 21])
 def test_every_pair_of_a_bucket_is_verified(monkeypatch, lookup):
-    import pyarrow as pa
-
     monkeypatch.setattr(near_dup, "LOOKUP", lookup)
     rng = np.random.default_rng(3)
     heads = [rng.integers(0, 1 << 40, 50).astype(np.uint64) for _ in range(8)]
