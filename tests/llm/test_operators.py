@@ -401,6 +401,39 @@ def test_nearest(spark):
     assert ann.search_table(df.limit(0)).count() == 0
 
 
+def test_the_stopping_test_leaves_rows_unverified():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    matrix, limit = ann.projection(64, ann.DIMENSIONS), ann.chi_square_point(ann.CONFIDENCE, ann.DIMENSIONS)
+    tree = ann.KdTree(v @ matrix)
+    held, vectors, ids = ann.KdTree.load(tree.dump(v, np.arange(len(v))))
+    hit = seen = 0
+    for q in range(0, 6000, 100):
+        best, verified = ann.search(vectors, ids, held, v[q] @ matrix, v[q], q, 10, limit)
+        dist = np.sqrt(((v - v[q]) ** 2).sum(1))
+        hit += len({i for _, i in best} & set([i for i in np.argsort(dist) if i != q][:10]))
+        seen += verified
+    assert hit >= 0.9 * 600 and seen < 0.6 * 60 * 6000
+
+
+def test_cells_and_visits(spark, monkeypatch):
+    """Many small shards, salted cells and a vector that a third of the rows hold: equal to one tree."""
+    monkeypatch.setattr(ann, "SHARD", 60)
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(600, 6)) + 8 * rng.integers(0, 3, (600, 1)), np.tile(rng.normal(size=6), (300, 1)), 1e-9 * rng.normal(size=(200, 6)) + 5])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    rows = ann.valid_vectors(df)
+    index = ann.Index(rows)
+    assert index.trees.count() > 8 and index.trees.agg(F.sum("n")).first()[0] == 600 + 11 + 200
+    got = defaultdict(list)
+    for r in index.nearest(rows.filter("vec_id % 100 = 0"), confidence=1 - 1e-12).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    for q in range(0, 1100, 100):
+        dist = np.sqrt(((v - v[q]) ** 2).sum(1))
+        assert sorted(got[q]) == list(enumerate([i for i in np.lexsort((np.arange(len(v)), dist)) if i != q][:10], 1))
+
+
 def test_nearest_of_repeated_rows(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 8))
