@@ -195,14 +195,15 @@ def components(links: DataFrame, name: str = "parts") -> DataFrame:
 
     Alternates large-star and small-star contraction until only stars are left; each round is
     a written table, so no lineage grows and nothing is gathered on the driver but one number.
+    What is joined is written first: then Spark may split a node that has most of the edges.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
     while not _stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
         # One row at most for each edge, so that repeats can wait for the end of the round.
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         edges = written(small, name)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -235,9 +236,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     band of `rows` registers. Within a
     bucket, every member is first verified against the bucket's pivot, the member that shares
     buckets with most others: a row per member and band, whatever the bucket's size. Buckets
-    whose members are then in one component need no more. In the others, members of
+    whose members are then in one component, or that have two members, need no more. In the others, members of
     different components are all verified with each other by their shingles, in blocks of
     bounded size, until what is alike is joined. No bucket is capped. Joins of texts and shingles are by shuffle at every size.
+    What is known of each bucket or class (a narrow row) is a table of its own before it is joined
+    to the members, so that adaptive execution can split a hot one over many tasks.
 
     Words are runs of letters, digits and characters beyond ASCII, in lower case (A-Z). A
     text of fewer words has one shingle of all its words; a text without words is linked
@@ -249,16 +252,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     nodes = signed.groupBy("_tid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
     entries = nodes.select("nid", F.explode("bands").alias("bkey"))
-    shared = entries.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(entries.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared")
     entries = written(entries.join(shared, "bkey"), "near-buckets")
     degree = entries.groupBy("nid").agg(F.sum("n").alias("degree"))
     ranked = entries.join(degree, "nid").groupBy("bkey").agg(F.max(F.struct("degree", (-F.col("nid")).alias("minus"))).alias("top"))
-    pivots = ranked.select("bkey", (-F.col("top.minus")).alias("pivot"))
+    pivots = written(ranked.select("bkey", (-F.col("top.minus")).alias("pivot")), "near-pivots")
     stars = entries.join(pivots, "bkey").filter("nid != pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
     stars = written(stars, "near-stars")
 
     wanted = nodes.select("_tid", "nid").join(entries.select("nid").distinct(), "nid", "left_semi")
-    texts = rows_in.join(written(wanted, "near-wanted").hint("merge"), "_tid").groupBy("nid").agg(F.first("_text").alias("_text"))
+    # Copies of a text are one row before they are shuffled.
+    texts = rows_in.groupBy("_tid").agg(F.first("_text").alias("_text")).join(written(wanted, "near-wanted").hint("merge"), "_tid")
     sets = written(texts.select("nid", "_text").mapInArrow(_shingler(words), "nid bigint, set binary"), "near-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -269,8 +273,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     links = verified(stars, "near-links")
     comp = components(links)
     left = entries.join(comp, entries["nid"] == comp["node"], "left").select("bkey", "nid", F.coalesce("comp", "nid").alias("comp"))
-    open_ = left.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("bkey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = written(left.join(open_, "bkey"), "near-open").join(nodes.select("nid", "sig"), "nid").join(sets.hint("merge"), "nid")
+    open_ = left.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi AND n > 2").select("bkey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    members = written(left.join(written(open_, "near-open-keys"), "bkey"), "near-open").join(nodes.select("nid", "sig"), "nid").join(sets.hint("merge"), "nid")
     members = members.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("bkey", "nid", "comp", "sig", "set", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
@@ -281,7 +285,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     named = by_text.join(nodes.select("_tid", "nid"), "_tid").join(comp, F.col("nid") == comp["node"], "left")
     named = written(named.select("_tid", "first_id", F.coalesce("comp", "nid").alias("comp")), "near-named")
     # The class's first text: the smallest id, ids before null, ties to the smaller digest.
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f"))
+    first = written(named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f")), "near-first")
     classes = named.join(first, "comp").select("_tid", F.col("f.class_id").alias("class_id"), (F.col("f.keep") == F.col("_tid")).alias("keep_text"))
     classes = written(classes, "near-classes")
     narrow = docs.select(F.col(id_col), F.md5(text_of(docs)).alias("_tid"))
