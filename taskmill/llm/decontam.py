@@ -8,30 +8,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import text_of, written
+from taskmill.llm.common import free_name, text_of, written
 
 WORDS, CONTAINMENT = 5, 0.8
 OUT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
-def with_shingles(df: DataFrame, text: Column, name: str, words: int = WORDS) -> DataFrame:
-    """df with the hashes of the runs of `words` words of a text, as an array (repeats kept)."""
+def with_shingles(df: DataFrame, text: Column, name: str, lengths: list[int]) -> DataFrame:
+    """df with the hashes of all runs of so many words of a text, as an array (repeats kept)."""
     hashed = F.transform(F.array_remove(F.split(F.lower(text), OUT), ""), lambda w: F.xxhash64(w))
     df = df.withColumn("_wh", hashed)
-    last = F.size("_wh") - words
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("_wh"), i + j) for j in range(words)]))
-    return df.withColumn(name, F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))).drop("_wh")
+
+    def runs(k: int) -> Column:
+        last = F.size("_wh") - k
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("_wh"), i + j) for j in range(k)]))
+        return F.when(last >= 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    return df.withColumn(name, F.concat(*map(runs, lengths)) if len(lengths) > 1 else runs(lengths[0])).drop("_wh")
 
 
 def sketches(items: DataFrame, words: int, containment: float) -> DataFrame:
     """items with their distinct shingles, n, need, size partition and bottom-k MinHash sketch.
 
+    An item of fewer than `words` words has one shingle, of all its words; length tells of how
+    many words an item's shingles are.
+
     A text that holds at least need = ceil(containment * n) shingles of an item lacks at most
     n - need of them, so that it holds one of any n - need + 1. The sketch is the
     n - need + 1 smallest hashes; no item is missed.
     """
-    found = with_shingles(items.select(items["item_id"], text_of(items).alias("_t")), F.col("_t"), "all", words)
-    found = found.select("item_id", F.array_sort(F.array_distinct("all")).alias("set")).withColumn("n", F.size("set")).filter("n > 0")
+    hashed = F.transform(F.array_remove(F.split(F.lower(text_of(items)), OUT), ""), lambda w: F.xxhash64(w))
+    found = items.select(items["item_id"], text_of(items).alias("_t"), F.least(F.size(hashed), F.lit(words)).alias("length")).filter("length > 0")
+    found = with_shingles(found, F.col("_t"), "all", [words])
+    whole = [F.when(F.col("length") == k, F.xxhash64(*[F.get("_own", F.lit(j)) for j in range(k)])) for k in range(1, words)]
+    found = found.withColumn("_own", F.transform(F.array_remove(F.split(F.lower("_t"), OUT), ""), lambda w: F.xxhash64(w)))
+    found = found.withColumn("all", F.when(F.col("length") < words, F.array(F.coalesce(*whole))).otherwise(F.col("all"))) if whole else found
+    found = found.select("item_id", "length", F.array_sort(F.array_distinct("all")).alias("set")).withColumn("n", F.size("set"))
     found = found.withColumn("need", F.ceil(F.lit(containment) * F.col("n") - 1e-9).cast("int"))
     found = found.withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("sketch", F.slice("set", F.lit(1), F.col("n") - F.col("need") + 1))
     return written(found.withColumn("ikey", F.monotonically_increasing_id()), "bench")
@@ -43,18 +55,22 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, conta
 
     Items are partitioned by the binary logarithm of their size. Each has a bottom-k MinHash
     sketch, whose k follows from its size; each partition has a bound, the largest hash of its
-    sketches. A text looks up only its hashes below the bound of the partitions that it is
-    long enough for. Texts that share a hash with a sketch are verified by all shingles.
-
-    Words are runs of letters, digits and characters beyond ASCII, in lower case. Items of
-    fewer than `words` words have no shingle and are never found; so are null texts. Repeated
-    rows give a row each; ids may be null; other columns don't matter.
+    sketches. A text looks up each of its hashes once, if it is below the bound of any partition
+    that the text is long enough for. Texts that share a hash with a sketch are verified by all
+    shingles.
+
+    Words are runs of letters, digits and characters beyond ASCII, in lower case. An item of
+    fewer than `words` words has one shingle of all of them: it is found where they stand
+    consecutively. Items without words and null texts are never found. Repeated rows give a row
+    each; ids may be null; other columns don't matter.
     """
     item = sketches(items, words, containment)
     # One row per power of two: at most 31.
     parts = item.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("bound"), F.min("need").alias("need")).collect()
+    short = item.filter(F.col("length") < words).select("length").distinct().collect()  # lengths: fewer than `words`
+    lengths = [words, *sorted(r["length"] for r in short)]
     text = text_of(docs)
-    keyed = with_shingles(docs.select(F.xxhash64(text).alias("tkey"), text.alias("_t")), F.col("_t"), "all", words)
+    keyed = with_shingles(docs.select(F.xxhash64(text).alias("tkey"), text.alias("_t")), F.col("_t"), "all", lengths)
     size = F.size("all")
     bound = F.greatest(F.lit(-(1 << 63)), *[F.when(size >= r["need"], F.lit(r["bound"])) for r in parts]) if parts else F.lit(-(1 << 63))
     probes = keyed.select("tkey", "all", bound.alias("bound")).select("tkey", F.explode(F.filter("all", lambda h: h <= F.col("bound"))).alias("hash"))
@@ -62,7 +78,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, conta
     pairs = probes.join(entries, "hash").select("tkey", "ikey").distinct()
     by_text = written(pairs.groupBy("tkey").agg(F.collect_set("ikey").alias("ikeys")), "bench-pairs")
     rows = docs.select(F.col(id_col), text.alias("_t"), F.xxhash64(text).alias("tkey")).join(by_text, "tkey")
-    rows = with_shingles(rows, F.col("_t"), "all", words).select(id_col, F.md5("_t").alias("text_id"), F.array_distinct("all").alias("all"), "ikeys")
+    rows = with_shingles(rows, F.col("_t"), "all", lengths).select(id_col, F.md5("_t").alias("text_id"), F.array_distinct("all").alias("all"), "ikeys")
     each = rows.select(id_col, "text_id", "all", F.explode("ikeys").alias("ikey")).join(item.select("ikey", "item_id", "set", "n", "need"), "ikey")
     out = each.select(id_col, "item_id", F.size(F.array_intersect("set", "all")).cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_item"), "need", "text_id")
     return out.filter("n_shared >= need").select(id_col, "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"), "text_id")
@@ -71,5 +87,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, conta
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows whose texts hold an item; null texts are kept."""
     found = contained_items(docs, items, **options).select(F.col("text_id").alias("_dc_text")).distinct()
-    keyed = docs.withColumn("_dc_key", F.md5(text_of(docs)))
-    return keyed.join(written(found, "bench-found"), F.col("_dc_key") == F.col("_dc_text"), "left_anti").drop("_dc_key")
+    key = free_name(docs, "_dc_key")
+    keyed = docs.withColumn(key, F.md5(text_of(docs)))
+    found = written(found, "bench-found")
+    return keyed.join(found, keyed[key] == found["_dc_text"], "left_anti").drop(key)
