@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import new_path, open_fs, written
+from taskmill.llm.common import MOST_TASKS, new_path, open_fs, written
 
 DIMENSIONS, CONFIDENCE, LEAF = 20, 0.9, 256
 #: Vectors in one stored tree, and visits of queries to it that one task makes.
 SHARD, QUERY_BLOCK = 20_000, 100
 #: Rows, by expectation, from which the cells of the index are fitted; cells for each length of vectors.
 SAMPLE, MOST_CELLS = 20_000, 4096
-#: Partitions that searches are dealt to, at most.
-MOST_TASKS = 20_000
 
 
 def chi_square(x: float, m: int) -> float:

@@ -20,11 +20,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (single-machine tests) a temporary folder takes its place.
+    Only on a local master, where it may be unset (tests), a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="taskmill-")
@@ -51,12 +53,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+#: Partitions, at most, that rows with a task's work each are dealt to.
+MOST_TASKS = 20_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, whose rows each stand for much work (a block, a file), a row to each partition up to
+    MOST_TASKS partitions, and evenly beyond."""
+    return df.repartition(max(1, min(MOST_TASKS, df.count())))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import encoder, new_path, open_fs, text_of, with_end, written
+from taskmill.llm.common import dealt, encoder, new_path, open_fs, text_of, with_end, written
 
 #: Ids of a block that is searched at once.
 BLOCK_IDS = 4 << 20
@@ -99,7 +99,7 @@ def scan_flat(paths: DataFrame, end_id: int, kind: str = "<u2", block_ids: int =
     width = np.dtype(kind).itemsize
     found = paths.select("path").distinct().mapInArrow(_blocks(width, block_ids), "path string, low bigint, n bigint")
     found = written(found, "flat-blocks")
-    found = found.repartition(max(1, found.count())).mapInArrow(_searcher(kind, end_id), "path string, low bigint, n bigint, ends array<bigint>")
+    found = dealt(found).mapInArrow(_searcher(kind, end_id), "path string, low bigint, n bigint, ends array<bigint>")
     found = written(found, "flat-ends")
     runs = found.select("path", "low", "n", F.size("ends").alias("k"), F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1).alias("last"))
     earlier = W.partitionBy("path").orderBy("low").rowsBetween(W.unboundedPreceding, -1)

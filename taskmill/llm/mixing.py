@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import text_of, written
+from taskmill.llm.common import free_name, text_of, written
 
 #: Expected copies are held as whole multiples of 1 / SCALE, so that prefix sums are exact.
 SCALE_BITS = 24
@@ -59,30 +60,38 @@ def mix_sources(docs: DataFrame, size: str = "_size", weights=(5, 2, 1), share:
     size, doc_id), each partition is sorted, and only the counts by partition and source are
     summed up. A source of any share of the rows is spread over many partitions.
 
-    size: a column of docs, as sized() adds it. Null sources are a source of their own, the
-    last; null sizes count as 0; rows that agree in all keys are taken as they lie; empty
-    input gives no rows. Columns of docs are kept, but for the four that are returned.
+    size: a column of docs, as sized() adds it; write docs first if that is costly, as the sort
+    reads its keys twice. Null sources are a source of their own, the last; null sizes count as
+    0; rows that agree in all keys are in order of a hash of all their columns, so that reruns
+    take the same; empty input gives no rows. Columns of docs are kept, but for the four that are
+    returned.
     """
-    docs = docs.drop("source_size", "target", "copies", "taken", "_mix_at", "_mix_part")
+    docs = docs.drop("source_size", "target", "copies", "taken")
     keyed = docs.withColumn(size, F.coalesce(F.col(size).cast("long"), F.lit(0)))
-    dealt = keyed.repartitionByRange("source", size, "doc_id", F.monotonically_increasing_id()).sortWithinPartitions("source", size, "doc_id")
-    dealt = written(dealt.withColumn("_mix_at", F.monotonically_increasing_id()), "mix")
-    part = F.shiftright("_mix_at", 33)
-    runs = written(dealt.groupBy("source", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("_mix_at").alias("low"), F.sum(size).alias("size")), "mix-runs")
+    name = lambda x: free_name(keyed, f"_mix_{x}")
+    at, tie = name("at"), name("tie")
+    keys = ("source", size, "doc_id", tie)
+    every = [F.col(f"`{c}`") for c in keyed.columns]
+    rows = keyed.withColumn(tie, F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(keyed.schema[n].dataType, T.MapType) else c for n, c in zip(keyed.columns, every, strict=True)]))
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()), "mix")
+    part = F.shiftright(at, 33)
+    runs = written(rows.groupBy("source", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.sum(size).alias("size")), "mix-runs")
     goals = targets(runs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * (1 << SCALE_BITS))).otherwise(0).cast("long")
     ahead = runs.withColumn("before", before).select(F.col("source").alias("_s"), "part", "low", "before")
     ahead = ahead.join(goals, ahead["_s"].eqNullSafe(goals["source"])).select("_s", "part", "low", "before", "source_size", "target", rate.alias("rate"))
     ahead = written(ahead, "mix-goals").withColumn("u", offset(seed, "_s"))
-    ahead = ahead.select("_s", F.col("part").alias("_p"), "low", "before", "rate", "u", F.col("source_size").alias("_ss"), F.col("target").alias("_t"))
-    out = dealt.join(ahead, (part == ahead["_p"]) & dealt["source"].eqNullSafe(ahead["_s"]))
-    rank = F.col("before") + F.col("_mix_at") - F.col("low")
-    copies = F.shiftright((rank + 1) * F.col("rate") + F.col("u"), SCALE_BITS) - F.shiftright(rank * F.col("rate") + F.col("u"), SCALE_BITS)
-    out = out.withColumn("copies", copies)
-    return out.select(*[F.col(f"`{c}`") for c in keyed.columns], F.col("_ss").alias("source_size"), F.col("_t").alias("target"), "copies", (F.col("copies") * F.col(size)).alias("taken"))
+    ahead = ahead.select(*[F.col(c).alias(name(c)) for c in ("_s", "part", "low", "before", "rate", "u", "source_size", "target")])
+    out = rows.join(ahead, (part == ahead[name("part")]) & rows["source"].eqNullSafe(ahead[name("_s")]))
+    rank, of = F.col(name("before")) + F.col(at) - F.col(name("low")), F.col(name("rate"))
+    copies = F.shiftright((rank + 1) * of + F.col(name("u")), SCALE_BITS) - F.shiftright(rank * of + F.col(name("u")), SCALE_BITS)
+    out = out.select(*every, F.col(name("source_size")).alias("source_size"), F.col(name("target")).alias("target"), copies.alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col(size))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each copy that the mix takes."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    name = free_name(mixed, "_copy")
+    return mixed.filter("copies > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias(name)).drop(name)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import mix, shingles, string_parts, text_of, word_hashes, written
+from taskmill.llm.common import free_name, mix, shingles, string_parts, text_of, word_hashes, written
 
 REGISTERS, ROWS, WORDS, SIMILARITY = 64, 4, 5, 0.8
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out.
@@ -301,9 +301,12 @@ def first_of_classes(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
     found = near_duplicates(docs, id_col=id_col, **options).filter(F.col("keep_text") & F.col(id_col).eqNullSafe(F.col("class_id")))
     chosen = found.groupBy("text_id", "class_id").agg(F.count(F.lit(1)).alias("_nd_copies"))
     chosen = written(chosen.select(F.col("text_id").alias("_nd_text"), F.col("class_id").alias("_nd_class"), "_nd_copies"), "near-chosen")
-    keyed = docs.withColumn("_nd_key", F.md5(text_of(docs)))
-    kept = keyed.join(chosen, (F.col("_nd_key") == F.col("_nd_text")) & keyed[id_col].eqNullSafe(chosen["_nd_class"]))
+    text, class_, copies = (free_name(docs, f"_nd_{x}") for x in ("text", "class", "copies"))
+    chosen = chosen.toDF(text, class_, copies)
+    key = free_name(docs, "_nd_key")
+    keyed = docs.withColumn(key, F.md5(text_of(docs)))
+    kept = keyed.join(chosen, (F.col(key) == F.col(text)) & keyed[id_col].eqNullSafe(chosen[class_]))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.filter("_nd_copies = 1").select(*names)
-    again = kept.filter("_nd_copies > 1").dropDuplicates(["_nd_key", id_col]).select(*names)
+    once = kept.filter(F.col(copies) == 1).select(*names)
+    again = kept.filter(F.col(copies) > 1).dropDuplicates([key, id_col]).select(*names)
     return once.unionByName(again)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import LOWER, VISIBLE_BYTES, mix, string_parts, text_of, word_hashes, written
+from taskmill.llm.common import LOWER, VISIBLE_BYTES, free_name, mix, string_parts, text_of, word_hashes, written
 
 BITS = 18
 #: Most labelled rows that training uses; those whose ids hash lowest are taken.
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
     return np.frombuffer(got[0]["weights"], "<f4") if got and got[0]["n"] else np.zeros((1 << bits) + 1, np.float32)
 
 
-def _scorer(shared, bits: int):
+def _scorer(shared, bits: int, column: str):
     def run(batches):
         weights = shared.value
         for batch in batches:
@@ -138,24 +138,24 @@ def _scorer(shared, bits: int):
                 row, at, value = features(data, offs, bits)
                 dot = np.bincount(row, weights[at] * value, n) + float(weights[-1])
                 score = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, n) for i in range(batch.num_columns - 1)), pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, n) for i in range(batch.num_columns - 1)), pa.array(score)], names=[*batch.schema.names[:-1], column])
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, column: str = "score") -> DataFrame:
     """docs with a column score, from 0 to 1; a null or empty text has the bias alone.
 
-    Only the text is looked at. A column score of docs is replaced.
+    Only the text is looked at. A column of docs with that name is replaced; all others stay.
     """
-    docs = docs.drop("score", "_quality_text")
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    docs = docs.drop(column)
+    schema = docs.withColumn(column, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits + 1 floats
-    return docs.withColumn("_quality_text", text_of(docs)).mapInArrow(_scorer(shared, bits), schema)
+    return docs.withColumn(free_name(docs, "_quality_text"), text_of(docs)).mapInArrow(_scorer(shared, bits, column), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score below the threshold; columns as they were."""
-    keep = docs.columns
-    weights = train(docs, labels)
-    return score(docs.withColumn("_qs", F.lit(0)).drop("_qs"), weights).filter(F.col("score") >= threshold).select(*[F.col(f"`{c}`") for c in keep])
+    """docs without the rows that score below the threshold; columns as they were, also one
+    named score."""
+    name = free_name(docs, "_quality_score")
+    return score(docs, train(docs, labels), column=name).filter(F.col(name) >= threshold).drop(name)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import encoder, new_path, open_fs, text_of, with_end, written
+from taskmill.llm.common import dealt, encoder, new_path, open_fs, text_of, with_end, written
 
 BLOCK_IDS, LANE_IDS, MOST_LANES = 1 << 20, 256, 4096
 #: Ids must be below this, so that order 0 can give a share to each and predictions keep theirs.
@@ -361,9 +361,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
-    files = manifest.count()
-    spread = manifest.repartition(max(1, files))
-    return spread.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return dealt(manifest).mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", plain: bool = True) -> DataFrame:

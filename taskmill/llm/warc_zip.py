@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import new_path, open_fs, written
+from taskmill.llm.common import dealt, new_path, open_fs, written
 
 #: Payloads of fewer bytes are never replaced by a revisit record.
 LEAST_REVISIT = 100
@@ -250,7 +250,7 @@ def read_packages(paths: DataFrame, payloads: bool = False) -> DataFrame:
     by place, without extraction. Digests of responses are checked.
     """
     found = written(paths.select("path").distinct().mapInArrow(_ranges(RANGE_BYTES), "path string, at bigint, sizes array<bigint>"), "warc-ranges")
-    return found.repartition(max(1, found.count())).mapInArrow(_reader(payloads), _FIELDS + ", payload binary" * payloads)
+    return dealt(found).mapInArrow(_reader(payloads), _FIELDS + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:

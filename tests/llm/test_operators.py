@@ -380,6 +380,20 @@ def test_decontamination(spark, odd, none):
     assert decontam.contained_items(none, bench).count() == 0 == decontam.contained_items(d, bench.limit(0)).count()
 
 
+def test_short_items_are_found(spark, tmp_path):
+    """Items of one to four words, by one shingle of all their words; equal to the SQL."""
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "four words of item"), (3, "  ,. "), (4, ""), (5, "seldom"), (6, "and a longer item of more than five words")], "item_id long, text string")
+    d = docs(spark, [(10, "so, who WROTE hamlet - he asked", None), (11, "four words of items", None), (12, "here are four words: of item. Four words of item", None), (13, "seldom", None), (14, "seldoms", None), (15, "", None), (16, "who wrote", None), (17, "and a longer item of more than five words, who wrote hamlet", None)])
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contained_items(d, bench).collect())
+    assert got == Counter([(10, 1, 1, 1), (12, 2, 1, 1), (13, 5, 1, 1), (17, 1, 1, 1), (17, 6, 5, 5)])
+    con = duckdb.connect()
+    for name, df in (("documents", d), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    sql = con.execute(f"SELECT doc_id, item_id, n_shared, n_item FROM ({queries.OP9_SQL})").fetchall()
+    assert Counter(sql) == got
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.normal(size=(900, 16)), np.ones((300, 16))])
