@@ -17,7 +17,7 @@ IN, OUT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]"
 #: Phrases whose words stand consecutively, and their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: (label, wording) of license notices.
+#: (label, wording) of license notices, in lower case, words parted by spaces.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
@@ -25,23 +25,38 @@ TEMPLATES = (
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     ("public-domain", "this work has been released into the public domain"),
+    ("public-domain", "this is free and unencumbered software released into the public domain"),
     ("reserved", "copyright all rights reserved no part of this publication may be reproduced"),
 )
 #: Notices differ in few words: at 0.8 one names another's licence.
 CONTAINMENT = 0.9
+#: Words of a block for each word of the template: a notice may have words put in.
+SLACK = 1.5
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(line: Column) -> Column:
-    """The distinct lower-case words of a text, as an array."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), OUT + "+"), ""))
+def lowered(text: Column) -> Column:
+    """A text with A to Z in lower case and all else as it is."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def span_of(wording: str) -> int:
+    """Words of a block that is compared with a template."""
+    return int(SLACK * len(wording.split()))
 
 
 def _phrase(words: str) -> str:
@@ -69,74 +84,56 @@ def base_columns(docs: DataFrame) -> list[Column]:
 
 def token_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(word, n): how often each word of the templates stands in all texts."""
-    word = docs.select(F.explode(F.split(F.lower(text_of(docs)), OUT + "+")).alias("word"))
+    word = docs.select(F.explode(F.split(lowered(text_of(docs)), OUT + "+")).alias("word"))
     return word.filter(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ordered_templates(docs: DataFrame, templates, containment: float) -> list[tuple[int, str, list[str], int]]:
-    """(id, label, distinct tokens with the rarest first, least overlap) of each template.
+def ordered_templates(docs: DataFrame, templates, containment: float) -> list[tuple[int, str, list[str], int, int]]:
+    """(id, label, distinct tokens with the rarest first, least overlap, span) of each template.
 
     Only counts of the templates' own words reach the driver, whatever the corpus.
     """
-    sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    sets = [(label, list(dict.fromkeys(text.split())), span_of(text)) for label, text in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     count = dict(token_counts(docs, vocabulary).collect()) if vocabulary else {}
-    return [(i, label, sorted(ws, key=lambda w: (count.get(w, 0), w)), ceil(containment * len(ws) - 1e-9)) for i, (label, ws) in enumerate(sets) if ws]
-
-
-def matching_windows(lines: DataFrame, prefix: DataFrame, full: DataFrame, rare: list[str], longest: int) -> DataFrame:
-    """What matching_blocks() finds in runs of words across line breaks, with null as block.
-
-    A run of as many words as the template that has `need` of them holds a prefix token. The
-    words around each one, so many that any such run through it is among them, are looked at.
-    """
-    worded = lines.select("key", F.array_remove(F.split(F.lower("text"), OUT + "+"), "").alias("ws"))
-    at = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
-    worded = worded.select("key", "ws", at.alias("at"))
-    start = lambda i, n: F.greatest(i - n + 1, F.lit(0))
-    near = F.transform("at", lambda i: F.struct(F.element_at("ws", i + 1).alias("token"), F.slice("ws", start(i, longest) + 1, i + longest - start(i, longest)).alias("ws"), (i - start(i, longest)).alias("i")))
-    probes = worded.select("key", F.explode(near).alias("x")).select("key", "x.*")
-    # Both tables are made from the templates, a parameter of a few rows.
-    pairs = probes.join(F.broadcast(prefix), "token").join(F.broadcast(full), "template")
-    around = F.slice("ws", start(F.col("i"), F.col("span")) + 1, F.col("i") + F.col("span") - start(F.col("i"), F.col("span")))
-    found = pairs.select("key", F.lit(None).cast("int").alias("block"), "label", "template", "need", "n", F.size(F.array_intersect(around, "tokens")).alias("shared"))
-    return found.filter("shared >= need").distinct()
+    return [(i, label, sorted(ws, key=lambda w: (count.get(w, 0), w)), ceil(containment * len(ws) - 1e-9), span) for i, (label, ws, span) in enumerate(sets) if ws]
 
 
 def matching_blocks(docs: DataFrame, key: Column, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(key, block, label, template, containment) of each block of a text and template such
-    that the block has at least `containment` of the template's distinct words. Blocks are
-    lines, whatever their length, and, so that a notice may wrap, runs of words of the
-    template's length (up to twice that around a rare word) across lines.
+    """(key, label, template, containment) of each text and template such that a block of the text
+    has at least `containment` of the template's distinct words; the greatest containment.
+
+    Blocks are all runs of SLACK times as many words as the template has (the whole text, if it
+    has fewer), whatever line breaks and marks stand between them: a notice may wrap, and
+    words that are strewn over a long text or line don't make one.
 
     The template's tokens are put in order of their frequency in the corpus, rarest first. A
-    line that has `need` of `n` tokens has one of the first n - need + 1: only lines that hold
-    such a prefix token are looked at (prefix filter), they must have `need` words (length
-    filter), and if a line's first match is at place p, no more than n - p tokens can be shared
-    (positional filter; it removes nothing, as p is at most n - need). The overlap of what remains is counted exactly.
+    block that has `need` of `n` tokens has one of the first n - need + 1: only places of such
+    prefix tokens are looked at (prefix filter), in texts of `need` words at least (length
+    filter). Of the template's tokens, only those that stand less than a block from that place
+    can be in a block with it; fewer than `need` are dropped (positional filter). In what
+    remains, the overlap of each block through that place is counted exactly.
     """
     spark: SparkSession = docs.sparkSession
     ordered = ordered_templates(docs, templates, containment)
-    index = [(w, i, p, need, len(ws)) for i, _, ws, need in ordered for p, w in enumerate(ws[: len(ws) - need + 1])]
-    prefix = spark.createDataFrame(index, "token string, template int, place int, need int, n int")
-    spans = [len(text.split()) for _, text in templates]
-    full = spark.createDataFrame([(i, label, ws, spans[i]) for i, label, ws, _ in ordered], "template int, label string, tokens array<string>, span int")
-    rare = sorted({x[0] for x in index})
+    index = [(w, i, label, ws, need, len(ws), span) for i, label, ws, need, span in ordered for w in ws[: len(ws) - need + 1]]
+    prefix = spark.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, n int, span int")
+    rare, longest = sorted({x[0] for x in index}), max((x[-1] for x in index), default=1)
     some = f"(?i)(?<!{IN})(?:{'|'.join(rare)})(?!{IN})" if rare else "(?!)"
     text = text_of(docs)
-    held = docs.filter(text.rlike(some))
-    lines = held.select(key.alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("block", "line")).filter(F.col("line").rlike(some))
-    worded = lines.select("key", "block", words_of(F.col("line")).alias("words"))
-    probes = worded.select("key", "block", "words", F.explode("words").alias("token")).filter(F.col("token").isin(rare))
-    # Both tables are made from the templates, a parameter of a few rows.
-    pairs = probes.join(F.broadcast(prefix), "token").filter(F.size("words") >= F.col("need"))
-    pairs = pairs.groupBy("key", "block", "template").agg(F.first("words").alias("words"), F.min("place").alias("place"), F.first("need").alias("need"), F.first("n").alias("n"))
-    pairs = pairs.filter(F.col("n") - F.col("place") >= F.col("need")).join(F.broadcast(full), "template")
-    shared = F.size(F.array_intersect("words", "tokens"))
-    found = pairs.select("key", "block", "label", "template", "need", "n", shared.alias("shared")).filter("shared >= need")
-    wrapped = held.filter(text.contains("\n")).select(key.alias("key"), text.alias("text"))
-    found = found.union(matching_windows(wrapped, prefix, full, rare, max(spans, default=1)))
-    return found.select("key", "block", "label", "template", (F.col("shared") / F.col("n")).alias("containment"))
+    worded = docs.filter(text.rlike(some)).select(key.alias("key"), F.array_remove(F.split(lowered(text), OUT + "+"), "").alias("ws"))
+    at = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    low = lambda i: F.greatest(i - (longest - 1), F.lit(0))
+    near = lambda i: F.struct(F.element_at("ws", i + 1).alias("token"), (i - low(i)).alias("i"), F.slice("ws", low(i) + 1, i - low(i) + longest).alias("around"))
+    probes = worded.select("key", F.size("ws").alias("words"), at.alias("at"), "ws").select("key", "words", F.explode(F.transform("at", near)).alias("x")).select("key", "words", "x.*")
+    # Made from the templates, a parameter of a few rows.
+    pairs = probes.join(F.broadcast(prefix), "token").filter(F.col("words") >= F.col("need"))
+    first = F.greatest(F.col("i") - F.col("span") + 1, F.lit(0))
+    pairs = pairs.withColumn("around", F.slice("around", first + 1, F.col("i") - first + F.col("span"))).withColumn("i", F.col("i") - first)
+    pairs = pairs.filter(F.size(F.array_intersect("around", "tokens")) >= F.col("need"))
+    shared = F.array_max(F.transform(F.sequence(F.lit(0), F.col("i")), lambda s: F.size(F.array_intersect(F.slice("around", s + 1, F.col("span")), "tokens"))))
+    found = pairs.select("key", "label", "template", "need", "n", shared.alias("shared")).filter("shared >= need")
+    return found.groupBy("key", "label", "template").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id") -> DataFrame:

@@ -111,19 +111,25 @@ SELECT doc_id, class_id FROM documents d JOIN m ON m.a = md5(coalesce(d.text, ''
 
 
 def op8_sql(templates=license_scan.TEMPLATES, containment: float = license_scan.CONTAINMENT) -> str:
-    quoted = ", ".join(f"('{label}', {list(dict.fromkeys(text.split()))})" for label, text in templates)
+    quoted = ", ".join(f"({i}, '{label}', {list(dict.fromkeys(text.split()))}, {license_scan.span_of(text)})" for i, (label, text) in enumerate(templates))
     phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()} AS p" for p, label in license_scan.PHRASES.items())
+    # A block is a run of `span` words; the best one begins with one of the template's words.
+    windows = " UNION ALL ".join(
+        f"SELECT rid, tid, label, n, count(DISTINCT word) OVER (PARTITION BY rid ORDER BY place RANGE BETWEEN CURRENT ROW AND {license_scan.span_of(text) - 1} FOLLOWING) AS k FROM places WHERE tid = {i}"
+        for i, (_, text) in enumerate(templates)
+    )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWERED} AS t FROM documents),
 w AS (SELECT *, CASE WHEN trim(regexp_replace(t, '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) = '' THEN [] ELSE {_WORDS.format("t")} END AS w FROM d),
 ph AS ({phrases}),
 hits AS (SELECT rid, label, unnest(list_filter(range(0, len(w)), lambda i: w[(i + 1):(i + len(p))] = p)) AS place FROM w, ph),
 base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY rid),
-b AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
-bw AS (SELECT DISTINCT rid, list_distinct({_WORDS.format("line")}) AS w FROM b),
-tm(label, toks) AS (VALUES {quoted}),
-f AS (SELECT rid, label, len(list_intersect(w, toks)) AS k, len(toks) AS n FROM bw, tm),
-more AS (SELECT rid, list(DISTINCT label) AS labels, max(k / n) AS best FROM f WHERE k >= ceil({containment} * n - 1e-9) GROUP BY rid)
+tm(tid, label, toks, span) AS (VALUES {quoted}),
+tok AS (SELECT tid, label, len(toks) AS n, unnest(toks) AS word FROM tm),
+each AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w),
+places AS (SELECT rid, tid, label, n, word, place FROM each JOIN tok USING (word)),
+blocks AS ({windows}),
+more AS (SELECT rid, list(DISTINCT label) AS labels, max(k / n) AS best FROM blocks WHERE k >= ceil({containment} * n - 1e-9) GROUP BY rid)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,

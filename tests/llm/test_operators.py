@@ -369,6 +369,34 @@ def test_license_notices_wrap(spark):
     assert [rows[i].score for i in (0, 1, 2, 4)] == [1.0, 1.0, 1.0, 0.0]
 
 
+def test_license_blocks_are_short(spark):
+    """Words of a notice that are strewn over a line are no notice; words put in or lost are allowed for."""
+    texts = ["He was released under bail and the MIT dean lost his license", "this was released " + "x " * 40 + "under the mit license", "Released, under the (so-called) MIT\n * License", "licensed under the terms of the Apache License, Version 2.0", "released under the mit", "K released under the MIT license \u212a", "released under the " * 5000 + "mit license"]
+    rows = {r.doc_id: r for r in license_scan.license_scan(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [rows[i].labels for i in range(7)] == ["", "", "mit", "apache-2.0", "", "mit", "mit"]
+
+
+def test_license_equals_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    texts = []
+    for i in range(120):
+        _, notice = license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)]
+        w = notice.split()
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = [str(rng.choice(words))] * int(rng.integers(0, 3))
+        fill = [str(x) for x in rng.choice(words, int(rng.integers(0, 40)))]
+        texts.append(" ".join(fill + w + fill[::-1]).replace(" the ", "\nThe ").replace(" cc ", " \U0001f600 CC-"))
+    docs(spark, [(i, t, None) for i, t in enumerate([*texts, None, "", " ,"])]).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.op8_sql())
+    names = [c[0] for c in want.description]
+    got = queries.op8_license_scan(spark, str(tmp_path)).select(*names).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall()) and len({r.labels for r in got}) > 8
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"q{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too few words"), (None, item), (4, "same text of seven words it is")], "item_id long, text string")
