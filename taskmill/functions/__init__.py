@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
+#: A secret that begins so is none. Fixed value.
+PLACEHOLDER = "your-"
 
 
 def key_or_unknown(column: Column, unknown: str = UNKNOWN) -> Column:
@@ -63,4 +65,9 @@ def availability_label(available: Column, yes: str = "Available", no: str = "Una
 
 def has_secret(column: Column) -> Column:
     """Whether a secret is set and isn't a placeholder; the secret itself is never returned."""
-    return F.coalesce((column != "") & ~column.startswith("your-"), F.lit(False))
+    return ~F.coalesce(F.nullif(column, F.lit("")), F.lit(PLACEHOLDER)).startswith(PLACEHOLDER)
+
+
+def list_length(items: Column) -> Column:
+    """How many items a list holds; null holds none."""
+    return F.coalesce(F.array_size(items), F.lit(0))

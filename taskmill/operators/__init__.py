@@ -34,15 +34,17 @@ def summarise(tasks: DataFrame, group_size: int = 110) -> DataFrame:
 
 def load_summary(spark: SparkSession, path: str, strict: bool = True, group_size: int = 110) -> DataFrame:
     """summarise() of a task file; unavailable with zero counts if it is missing, and with the
-    error too if it can't be read. Reading is lazy, so the failure is caught at the action."""
+    error too if it can't be parsed. Errors are rows of the reader, all in one job; other
+    failures are raised. The row has an entry per key, so that a file's keys must fit one row."""
     gone = {"available": False, "path": str(path), "task_count": 0, "database_count": 0, "databases": None, "tasks_per_database": {}, "robustness_task_count": None, "balanced_110": None, "error": None}
-    if not sources.is_task_file(path):
-        return spark.createDataFrame([tuple(gone.values())], SUMMARY)
-    try:
-        row = summarise(sources.read_tasks(spark, path, strict), group_size).first()
-    except Exception as error:  # PythonException or Py4JJavaError, by reader
-        return spark.createDataFrame([tuple((gone | {"error": str(error).strip().splitlines()[-1][:500]}).values())], SUMMARY)
-    return spark.createDataFrame([tuple((gone | {"available": True} | row.asDict()).values())], SUMMARY)
+    if sources.is_task_file(spark, path):
+        tasks = sources.read_tasks(spark, path, strict)
+        # With the key beside it: Spark's JSON reader refuses to give errors alone.
+        wrong = tasks.agg(F.max(F.struct("error", "db_key")).alias("w")).select(F.col("w.error").alias("wrong"))
+        row = summarise(tasks.filter("error IS NULL"), group_size).crossJoin(wrong).first().asDict()  # one row each
+        error = row.pop("wrong")
+        gone |= {"error": error} if error is not None else {"available": True} | row
+    return spark.createDataFrame([tuple(gone.values())], SUMMARY)
 
 
 def ids_of_family(methods: DataFrame, family: str = "baseline") -> DataFrame:
@@ -75,18 +77,16 @@ def catalog_health(spark: SparkSession, load=sources.inventory) -> DataFrame:
     """inventory_summary() of a catalog, zeroed with the message if it can't be listed."""
     try:
         return inventory_summary(load(spark))
-    except Exception as error:
+    except sources.CatalogError as error:
         return spark.createDataFrame([(False, str(error), 0, 0, [])], "available boolean, message string, database_count bigint, collection_count bigint, databases array<string>")
 
 
 def catalogue(spark: SparkSession, path: str, upstream_dir: str | None = None, commit: str | None = None, official: DataFrame | None = None) -> DataFrame:
     """The catalogue document: methods, tracks, dataset, upstream; one nested row."""
-    from pathlib import Path
-
     listed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("x"))
     m, t = sources.methods(spark), sources.tracks(spark)
     official = spark.createDataFrame([], "ord int, id string") if official is None else official
-    there = bool(upstream_dir) and Path(upstream_dir).is_dir()
+    there = bool(upstream_dir) and sources.path_kind(spark, upstream_dir) == "directory"
     upstream = ids_in_order(official).crossJoin(matches_in_order(official, ids_of_family(m)))
     upstream = upstream.select(F.struct(F.lit(there).alias("available"), F.lit(upstream_dir).cast("string").alias("source_dir"), F.lit(commit or None).cast("string").alias("commit"), F.when(F.size("ids") > 0, F.col("ids")).alias("official_baseline_ids"), F.col("matches").alias("catalog_matches_upstream")).alias("upstream"))
     data = load_summary(spark, path).select(F.struct("*").alias("dataset"))
@@ -103,6 +103,33 @@ def health(spark: SparkSession, path: str, upstream_dir: str | None = None, sett
     return doc.select(is_ready(F.col("databases.available"), F.col("dataset.available"), F.col("upstream.available")).alias("status"), "databases", "dataset", "upstream", provider.alias("provider"), F.struct(F.lit(settings.concurrency).alias("concurrency")).alias("defaults"))
 
 
+def defaults_document(spark: SparkSession, settings=None) -> DataFrame:
+    """The defaults document, one row: what may be shown of the settings, never the key."""
+    from taskmill.config import Settings
+
+    s = settings or Settings()
+    shown = {"provider": "openai-compatible", "model": s.model, "reasoning_effort": s.reasoning_effort, "concurrency": s.concurrency, "api_key_configured": s.api_key_configured}
+    return spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(k) for k, v in shown.items()])
+
+
+def identity_document(spark: SparkSession) -> DataFrame:
+    """name and version of this library, one row."""
+    import taskmill
+
+    return spark.range(0, 1, 1, 1).select(F.lit(taskmill.__name__).alias("name"), F.lit(taskmill.__version__).alias("version"))
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One column json: each row as a JSON object, nested columns as objects and arrays. Null
+    fields are left out, so that an unavailable summary shows what it has only."""
+    return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """as_json() as text files, an object per line; an earlier result at the path is replaced."""
+    as_json(df).write.mode("overwrite").text(path)
+
+
 def planned_workload(methods: DataFrame, tracks: DataFrame, tasks: DataFrame | int | None, fallback: int = 1210) -> DataFrame:
     """One row planned_tasks: methods x tracks x tasks. `fallback` stands in only where tasks
     is None (nothing loaded); a count of 0 plans 0."""
@@ -115,3 +142,14 @@ def planned_workload(methods: DataFrame, tracks: DataFrame, tasks: DataFrame | i
 def result_rollup(results: DataFrame, by=("method", "track", "db_key"), scores=("score",)) -> DataFrame:
     """Our own definition: number of results and mean of each caller's score, by group."""
     return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(s).alias(f"avg_{s}") for s in scores])
+
+
+def outcome_table(results: DataFrame, axis: str, outcome: str, outcomes: list[str]) -> DataFrame:
+    """Our own definition: per value of the axis a column for each of the caller's outcomes, its count."""
+    return results.groupBy(axis).agg(*[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes])
+
+
+def self_consistency_runs(methods: DataFrame, samples: int) -> DataFrame:
+    """Our own definition: (id, sample): `samples` runs of a method that supports them, one of others."""
+    n = F.when(F.col("supports_self_consistency"), samples).otherwise(1)
+    return methods.select("id", F.explode(F.sequence(F.lit(1), n)).alias("sample"))

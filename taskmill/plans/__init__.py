@@ -159,10 +159,33 @@ def membership(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
 
 
-@query("SELECT r_regionkey, CASE WHEN r_name = 'ASIA' THEN 'EUROPE' ELSE 'ASIA,EUROPE,' || r_name END AS picked FROM region WHERE r_name <> 'EUROPE'")
+@query("SELECT r_regionkey, CASE r_name WHEN 'ASIA' THEN 'EUROPE' WHEN 'EUROPE' THEN 'ASIA' ELSE 'ASIA,EUROPE,' || r_name END AS picked FROM region")
 def toggle(spark, d):
-    r = table(spark, d, "region").filter("r_name <> 'EUROPE'")
-    return r.select("r_regionkey", F.array_join(X.toggled(F.array(F.lit("ASIA"), F.lit("EUROPE")), F.col("r_name")), ",").alias("picked"))
+    return table(spark, d, "region").select("r_regionkey", F.array_join(X.toggled(F.array(F.lit("ASIA"), F.lit("EUROPE")), F.col("r_name")), ",").alias("picked"))
+
+
+@query("SELECT to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_custkey': o_custkey})::VARCHAR AS json FROM orders")
+def json_sink(spark, d):
+    return O.as_json(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+
+
+@query("""SELECT to_json({'task_count': count(*), 'by_key': (SELECT list({'db_key': l, 'n': n} ORDER BY l) FROM (SELECT lang AS l, count(*) AS n FROM documents GROUP BY 1))})::VARCHAR AS json FROM documents""")
+def json_document(spark, d):
+    one = O.group_count(tasks(table(spark, d, "documents"), "lang")).agg(F.sum("n").alias("task_count"), F.array_sort(F.collect_list(F.struct("db_key", "n"))).alias("by_key"))
+    return O.as_json(one)
+
+
+@query("SELECT conv_id, len(list(turn))::INT AS turns FROM conversations GROUP BY 1")
+def list_length(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("turns"))
+    return turns.select("conv_id", X.list_length(F.col("turns")).alias("turns"))
+
+
+@query("SELECT row_number() OVER (ORDER BY source) AS place, source AS db_key, count(*) AS n FROM documents GROUP BY source")
+def sorted_count_map(spark, d):
+    """Keys in order with their places, from the entries of the summary."""
+    one = O.summarise(tasks(table(spark, d, "documents"), "source"))
+    return one.select(F.posexplode("tasks_per_database").alias("place", "db_key", "n")).withColumn("place", F.col("place").cast("long") + 1)
 
 
 @query("SELECT o_orderkey, format('{:,}', o_custkey) AS shown FROM orders")
@@ -184,3 +207,14 @@ def ext_result_rollup(spark, d):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def ext_progress(spark, d):
     return streaming.progress(table(spark, d, "events"))
+
+
+@query("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de FROM documents GROUP BY 1")
+def ext_outcome_table(spark, d):
+    return O.outcome_table(table(spark, d, "documents"), "source", "lang", ["en", "de"])
+
+
+@query("SELECT n_name AS id, unnest(range(1, CASE WHEN n_regionkey = 1 THEN 4 ELSE 2 END))::INT AS sample FROM nation")
+def ext_self_consistency(spark, d):
+    m = table(spark, d, "nation").select(F.col("n_name").alias("id"), (F.col("n_regionkey") == 1).alias("supports_self_consistency"))
+    return O.self_consistency_runs(m, 3)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from taskmill.functions import UNKNOWN, key_or_unknown, truthy_text
 
 TASKS = T.StructType([T.StructField("ord", T.LongType()), T.StructField("db_key", T.StringType()), T.StructField("has_colloquial", T.BooleanType())])
 METHODS = T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("id", "title", "family", "description")], T.StructField("supports_self_consistency", T.BooleanType())])
+TRACKS = T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("id", "field", "title", "description")]])
+IDS = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("id", T.StringType())])
 
 # The ten methods, in order.
 METHOD_ROWS = (
@@ -59,69 +62,97 @@ def parse_tasks(raw: bytes, key: str = "db_id", flag: str = "NLQ_colloquial") ->
     return [(i, str(x.get(key) or UNKNOWN), bool(x.get(flag))) for i, x in enumerate(root)]
 
 
-class TaskFiles(DataSource):
-    """spark.read.format("task_json").load(path): a strict reader of one task file.
+def path_status(spark: SparkSession, path: str):
+    """What Spark's file system tells of a path (isFile(), getLen(), ...); None if nothing is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(place) if system.exists(place) else None
 
-    One JSON array can't be split, so it is one partition. Options: path, key, flag.
-    """
 
-    @classmethod
-    def name(cls) -> str:
-        return "task_json"
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """"file", "directory" or None, on any file system that Spark knows."""
+    status = path_status(spark, path)
+    return None if status is None else "file" if status.isFile() else "directory"
 
-    def schema(self):
-        return TASKS
 
-    def reader(self, schema):
-        return _TaskReader(self.options)
+def is_task_file(spark: SparkSession, path: str) -> bool:
+    """A directory is none."""
+    return path_kind(spark, path) == "file"
 
 
-class _TaskReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.key, self.flag = options["path"], options.get("key", "db_id"), options.get("flag", "NLQ_colloquial")
+def _parser(key: str, flag: str):
+    def parse(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                try:
+                    rows, error = parse_tasks(raw, key, flag), None
+                except TaskFileError as wrong:
+                    rows, error = [(None, None, None)], str(wrong)[:500]
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.bool_()), strict=True)), pa.array([error] * len(rows), pa.string())], ["ord", "db_key", "has_colloquial", "error"])
 
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            yield from parse_tasks(f.read(), self.key, self.flag)
+    return parse
 
 
-def read_tasks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """ord, db_key, has_colloquial of a task file.
+def read_tasks(spark: SparkSession, path: str, strict: bool = True, key: str = "db_id", flag: str = "NLQ_colloquial") -> DataFrame:
+    """ord, db_key, has_colloquial, error of a task file, on any file system that Spark knows.
 
-    strict parses as the format demands. Otherwise Spark's own JSON reader is used, on any
-    of its file systems; it accepts more than the strict one and keeps `0` and `false` as
-    keys of that text.
+    A file that can't be parsed has one row with an error and nothing else; any other failure
+    (a lost executor, an unreadable disk) is raised. strict parses as the format demands: one
+    JSON array can't be split, so it is one partition, of 2 GB at most. Otherwise Spark's own
+    JSON reader is used; it accepts more than the strict one and keeps `0` and `false` as keys
+    of that text.
     """
     if strict:
-        spark.dataSource.register(TaskFiles)
-        return spark.read.format("task_json").option("path", str(path)).load()
-    rows = spark.read.schema("db_id string, NLQ_colloquial string").option("multiLine", True).option("mode", "FAILFAST").json(str(path))
-    return rows.select(F.monotonically_increasing_id().alias("ord"), key_or_unknown(F.col("db_id")).alias("db_key"), truthy_text(F.col("NLQ_colloquial")).alias("has_colloquial"))
-
-
-def is_task_file(path: str) -> bool:
-    """A directory is none."""
-    return Path(path).is_file()
+        schema = T.StructType([*TASKS.fields, T.StructField("error", T.StringType())])
+        status = path_status(spark, path)
+        if status is not None and not status.getLen():  # Spark reads no row of an empty file
+            return literal_rows(spark, [(None, None, None, "the file is empty")], schema)
+        raw = spark.read.format("binaryFile").load(str(path)).select("content")
+        return raw.mapInArrow(_parser(key, flag), schema)
+    wrong = F.col("_wrong")
+    rows = spark.read.schema(f"`{key}` string, `{flag}` string, _wrong string").option("multiLine", True).option("columnNameOfCorruptRecord", "_wrong").json(str(path))
+    whole = lambda c: F.when(wrong.isNull(), c)
+    return rows.select(whole(F.monotonically_increasing_id()).alias("ord"), whole(key_or_unknown(F.col(key))).alias("db_key"), whole(truthy_text(F.col(flag))).alias("has_colloquial"), F.substring(wrong, 1, 500).alias("error"))
+
+
+def literal_rows(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A few rows as literals of the plan, which the optimizer sees."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    made = F.array(*[F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(r, schema, strict=True)]) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(made))
 
 
 def methods(spark: SparkSession, rows=METHOD_ROWS) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], METHODS)
+    return literal_rows(spark, [(i, *r) for i, r in enumerate(rows)], METHODS)
 
 
 def tracks(spark: SparkSession, rows=TRACK_ROWS) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, id string, field string, title string, description string")
+    return literal_rows(spark, [(i, *r) for i, r in enumerate(rows)], TRACKS)
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, id) of a JSON array of ids, read as data; no rows if it can't be read."""
-    try:
-        ids = json.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError):
-        ids = []
-    return spark.createDataFrame([(i, str(x)) for i, x in enumerate(ids)], "ord int, id string")
+    """(ord, id) of a JSON array of ids, read as data; no rows where there is no such file or
+    its root is no array."""
+    found = None
+    if is_task_file(spark, path):
+        text = spark.read.text(str(path), wholetext=True).first()
+        try:
+            found = json.loads(text[0]) if text else None
+        except ValueError:
+            found = None
+    return literal_rows(spark, [(i, str(x)) for i, x in enumerate(found)] if isinstance(found, list) else [], IDS)
+
+
+class CatalogError(RuntimeError):
+    """The catalog can't be listed."""
 
 
 def inventory(spark: SparkSession) -> DataFrame:
     """(db, collection) of the session's catalog; a database without tables has a null one."""
-    rows = [(d.name, t) for d in spark.catalog.listDatabases() for t in ([x.name for x in spark.catalog.listTables(d.name)] or [None])]
+    try:
+        rows = [(d.name, t) for d in spark.catalog.listDatabases() for t in ([x.name for x in spark.catalog.listTables(d.name) if not x.isTemporary] or [None])]
+    except (PySparkException, Py4JError) as error:
+        raise CatalogError(str(error)) from error
     return spark.createDataFrame(rows, "db string, collection string")

@@ -1,4 +1,5 @@
 import json
+import os
 from collections import Counter
 
 import duckdb
@@ -7,27 +8,120 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import taskmill
 from taskmill import config, operators, plans, sources
 from taskmill import functions as X
 
 SF = "/root/testdata/sf0.001"
 
 
+# A method that is there, and names of variants that are none.
+KNOWN_METHODS, NO_METHODS = {"sag_v3", "react_informed"}, {"sag_card1", "sag_gate", "sag_v2"}
+
+
 def test_method_relation(spark):
-    rows = sources.methods(spark).collect()
-    ids = {r.id for r in rows}
-    assert len(ids) == 10 and {"sag_v3", "react_informed"} <= ids and not ids & {"sag_card1", "sag_gate", "sag_v2"}
-    assert sum(r.supports_self_consistency for r in rows) == 8
+    rows = sources.methods(spark).orderBy("ord").collect()
+    ids = [r.id for r in rows]
+    assert len(set(ids)) == len(rows) == 10 and KNOWN_METHODS.issubset(ids) and NO_METHODS.isdisjoint(ids)
+    assert sum(r.supports_self_consistency for r in rows) == 8 and [r.ord for r in rows] == list(range(10))
     assert [r.ord for r in operators.ids_of_family(sources.methods(spark)).orderBy("ord").collect()] == list(range(9))
+    assert [(r.id, r.field) for r in sources.tracks(spark).orderBy("ord").collect()] == [("canonical", "NLQ"), ("robustness", "NLQ_colloquial")]
 
 
 def test_summary_of_a_small_file(spark, tmp_path):
-    path = tmp_path / "tasks.json"
-    path.write_text('[{"db_id":"a","NLQ_colloquial":"x"},{"db_id":"b","NLQ_colloquial":"y"}]')
+    rows = [{"db_id": k, "NLQ": "q", "NLQ_colloquial": c} for k, c in (("shop", "what"), ("bank", ""), ("shop", "who"), ("zoo", None), ("bank", "how"))]
+    (tmp_path / "t.json").write_text(json.dumps(rows))
     for strict in (True, False):
-        row = operators.load_summary(spark, str(path), strict).first()
-        assert (row.available, row.task_count, row.database_count, row.robustness_task_count, row.balanced_110) == (True, 2, 2, 2, False)
-        assert row.databases == ["a", "b"] and row.tasks_per_database == {"a": 1, "b": 1}
+        row = operators.load_summary(spark, f"file://{tmp_path}/t.json", strict).first()
+        assert (row.available, row.task_count, row.database_count, row.robustness_task_count, row.balanced_110, row.error) == (True, 5, 3, 3, False, None)
+        assert row.databases == ["bank", "shop", "zoo"] and list(row.tasks_per_database.items()) == [("bank", 2), ("shop", 2), ("zoo", 1)]
+
+
+def test_relaxed_reader_reports_what_it_cannot_read(spark, tmp_path):
+    (tmp_path / "t.json").write_text('[{"db_id": "a"}, {"db_id": ')
+    row = operators.load_summary(spark, str(tmp_path / "t.json"), strict=False).first()
+    assert not row.available and row.error and row.task_count == 0 and row.databases is None
+
+
+def test_remote_paths(spark, tmp_path):
+    """A path that only Spark's file systems can open, as a remote store's."""
+    (tmp_path / "t.json").write_text('[{"db_id": "a"}]')
+    (tmp_path / "ids.json").write_text('["direct", "sql_pivot"]')
+    spark.conf.set("fs.viewfs.mounttable.core.link./in", f"file://{tmp_path}")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.core.link./in", f"file://{tmp_path}")
+    assert operators.load_summary(spark, "viewfs://core/in/t.json").first().task_count == 1
+    assert not operators.load_summary(spark, "viewfs://core/in/none.json").first().available
+    assert [r.id for r in sources.read_id_list(spark, "viewfs://core/in/ids.json").orderBy("ord").collect()] == ["direct", "sql_pivot"]
+
+
+def test_other_failures_are_raised(spark, tmp_path, monkeypatch):
+    """A failing executor is no unavailable file."""
+    (tmp_path / "t.json").write_text("[]")
+
+    def broken(*_):
+        def run(batches):
+            raise MemoryError("lost")
+            yield
+
+        return run
+
+    monkeypatch.setattr(sources, "_parser", broken)
+    with pytest.raises(Exception, match="lost"):
+        operators.load_summary(spark, str(tmp_path / "t.json"))
+
+
+@pytest.mark.parametrize("text, want", [('["a", "b"]', ["a", "b"]), ("3", []), ('{"a": 1}', []), ("null", []), ("[", []), ("", []), ("[1, null]", ["1", "None"])])
+def test_id_lists(spark, tmp_path, text, want):
+    (tmp_path / "ids.json").write_text(text)
+    assert [r.id for r in sources.read_id_list(spark, str(tmp_path / "ids.json")).orderBy("ord").collect()] == want
+    assert sources.read_id_list(spark, str(tmp_path / "none")).count() == 0 == sources.read_id_list(spark, str(tmp_path)).count()
+
+
+def test_catalogue_compares_an_id_list(spark, tmp_path):
+    ids = [r[1] for r in sorted((r.ord, r.id) for r in operators.ids_of_family(sources.methods(spark)).collect())]
+    for listed, want in ((None, None), (ids, True), (ids[::-1], False), (ids[1:], False)):
+        (tmp_path / "ids.json").write_text(json.dumps(listed))
+        official = sources.read_id_list(spark, str(tmp_path / "ids.json"))
+        up = operators.catalogue(spark, str(tmp_path / "none"), str(tmp_path), "0123abcd", official).first().upstream
+        assert (up.catalog_matches_upstream, up.official_baseline_ids, up.available, up.commit) == (want, listed, True, "0123abcd")
+
+
+def test_inventory_of_the_session_catalog(spark, tmp_path):
+    name = f"shop{os.getpid()}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path}/shop'")
+    try:
+        spark.sql(f"CREATE TABLE {name}.orders (a INT) USING parquet")
+        spark.range(1).createOrReplaceTempView("passing")
+        rows = {(r.db, r.collection) for r in sources.inventory(spark).collect()}
+        assert (name, "orders") in rows and not any(c == "passing" for _, c in rows)
+        row = operators.catalog_health(spark).first()
+        assert row.available and name in row.databases and row.databases == sorted(row.databases)
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_documents_as_json(spark, tmp_path):
+    s = config.load({"TASKMILL_API_KEY": "a-secret", "TASKMILL_CONCURRENCY": "7"})
+    shown = json.loads(operators.as_json(operators.defaults_document(spark, s)).first().json)
+    assert shown == {"provider": "openai-compatible", "model": s.model, "reasoning_effort": s.reasoning_effort, "concurrency": 7, "api_key_configured": True}
+    assert json.loads(operators.as_json(operators.identity_document(spark)).first().json) == {"name": "taskmill", "version": taskmill.__version__}
+    operators.write_json(operators.health(spark, str(tmp_path / "none"), settings=s, load=lambda x: x.createDataFrame([("a", "t")], "db string, collection string")), str(tmp_path / "out"))
+    (text,) = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    doc = json.loads(text)
+    assert doc["status"] == "degraded" and doc["databases"]["databases"] == ["a"] and doc["provider"]["configured"] and "a-secret" not in text
+    # What a missing data set does not have is left out.
+    assert set(doc["dataset"]) == {"available", "path", "task_count", "database_count", "tasks_per_database"}
+    listed = json.loads(operators.as_json(operators.catalogue(spark, str(tmp_path / "none"))).first().json)
+    assert len(listed["methods"]) == 10 and [t["id"] for t in listed["tracks"]] == ["canonical", "robustness"]
+
+
+def test_ordered_results(spark):
+    """What is sorted comes sorted."""
+    assert [r.db for r in plans.queries()["distinct_names"](spark, SF).collect()] == sorted(r.db for r in plans.queries()["distinct_names"](spark, SF).collect())
+    keys = [r.db_key for r in plans.queries()["group_count_sorted"](spark, SF).collect()]
+    assert keys == sorted(keys)
+    row = operators.summarise(spark.createDataFrame([(k, True) for k in "zbabz"], "db_key string, has_colloquial boolean")).first()
+    assert row.databases == ["a", "b", "z"] and list(row.tasks_per_database) == ["a", "b", "z"]
 
 
 @pytest.mark.parametrize("raw", [b"", b"[{", b"[] x", b'{"db_id":1}\n{"db_id":2}', b"\xef\xbb\xbf[]", b"[{'db_id':'a'}]", b"\xff", b'{"a":1}', b"[1]", b"/**/[]", b"3"])
@@ -81,7 +175,7 @@ def test_inventory_health_and_workload(spark, tmp_path):
     assert (row.databases, row.database_count, row.collection_count) == (["a", "b"], 2, 2)
 
     def broken(_):
-        raise RuntimeError("no answer")
+        raise sources.CatalogError("no answer")
 
     assert operators.catalog_health(spark, broken).first().message == "no answer"
     path = tmp_path / "t.json"
@@ -102,9 +196,11 @@ def test_expressions(spark):
 
 def test_settings(tmp_path):
     s = config.load({"TASKMILL_API_KEY": "secret-value", "TASKMILL_SOURCE_DIR": str(tmp_path), "OTHER": "x"})
-    assert s.api_key_configured and "secret-value" not in repr(s) + str(s.defaults()) and s.defaults()["model"] == "gpt-5.6-luna"
+    assert s.api_key_configured and "secret-value" not in repr(s) and s.model == config.MODEL and s.source_dir == str(tmp_path)
     assert not config.load({"TASKMILL_API_KEY": "your-key"}).api_key_configured and not config.load({}).api_key_configured
-    for bad in ("0", "129"):
+    s = config.load({"TASKMILL_RELEASE_DIR": "rel/../v1"}, root=str(tmp_path))
+    assert (s.dataset_path, s.runtime_dir) == (f"{tmp_path}/v1/data/tasks.json", f"{tmp_path}/data/runtime")
+    for bad in ("0", "129", "x"):
         with pytest.raises(ValueError):
             config.load({"TASKMILL_CONCURRENCY": bad})
     (tmp_path / ".env").write_text("# c\nTASKMILL_MODEL='m'\nTASKMILL_CONCURRENCY=8\n")
