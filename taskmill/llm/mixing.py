@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, size: str = "_size", weights=(5, 2, 1), share:
     take the same; empty input gives no rows. Columns of docs are kept, but for the four that are
     returned.
     """
-    docs = docs.drop("source_size", "target", "copies", "taken")
+    docs = docs.drop(*ADDED)
     keyed = docs.withColumn(size, F.coalesce(F.col(size).cast("long"), F.lit(0)))
     name = lambda x: free_name(keyed, f"_mix_{x}")
     at, tie = name("at"), name("tie")
@@ -91,7 +91,22 @@ def mix_sources(docs: DataFrame, size: str = "_size", weights=(5, 2, 1), share:
     return out.withColumn("taken", F.col("copies") * F.col(size))
 
 
+#: Columns that mix_sources() adds.
+ADDED = ("source_size", "target", "copies", "taken")
+
+
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each copy that the mix takes."""
     name = free_name(mixed, "_copy")
     return mixed.filter("copies > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias(name)).drop(name)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, by the number of its words; columns as
+    they were, also those named as what mix_sources() adds."""
+    size = free_name(docs, "_mix_size")
+    held = {c: free_name(docs, f"_mix_own_{c}") for c in docs.columns if c.lower() in ADDED}
+    # Written, as the sort by ranges looks at its keys twice.
+    rows = written(sized(docs, size).withColumnsRenamed(held), "sizes")
+    names = [held.get(c, c) for c in docs.columns]
+    return repeated(mix_sources(rows, size, **options), names).withColumnsRenamed({v: k for k, v in held.items()})
