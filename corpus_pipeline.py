@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from taskmill.llm import decontam, mixing, near_dup, quality, token_codec
-from taskmill.llm.common import free_name, written
+from taskmill.llm.common import written
 from taskmill.llm.queries import table, tokenizer_path
 
 
@@ -30,10 +30,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    size = free_name(docs, "_mix_size")
-    # Written, as the sort by ranges looks at its keys twice.
-    mixed = mixing.mix_sources(written(mixing.sized(docs, size), "sizes"), size)
-    return mixing.repeated(mixed, docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
