@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from taskmill.llm.common import free_name, text_of, written
+from taskmill.llm.common import drop_written, free_name, text_of, written
 
 #: Expected copies are held as whole multiples of 1 / SCALE, so that prefix sums are exact.
 SCALE_BITS = 24
@@ -109,4 +109,6 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     # Written, as the sort by ranges looks at its keys twice.
     rows = written(sized(docs, size).withColumnsRenamed(held), "sizes")
     names = [held.get(c, c) for c in docs.columns]
-    return repeated(mix_sources(rows, size, **options), names).withColumnsRenamed({v: k for k, v in held.items()})
+    mixed = mix_sources(rows, size, **options)
+    drop_written(rows)  # mix_sources() reads its own table from here on
+    return repeated(mixed, names).withColumnsRenamed({v: k for k, v in held.items()})

@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import free_name, mix, shingles, string_parts, text_of, word_hashes, written
+from taskmill.llm.common import drop_written, free_name, mix, shingles, string_parts, text_of, word_hashes, written
 
 REGISTERS, ROWS, WORDS, SIMILARITY = 64, 4, 5, 0.8
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out.
-BLOCK = 2048
+BLOCK = 512
 #: Shingles of a bucket's members that are looked up at once.
 LOOKUP = 1 << 21
 _KEY_BITS = 48
@@ -251,9 +251,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     signed = rows_in.select("_tid", "_text", "id").drop("id").mapInArrow(_signer(registers, rows, words), "_tid string, sig binary, bands array<bigint>")
     nodes = signed.groupBy("_tid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
-    entries = nodes.select("nid", F.explode("bands").alias("bkey"))
-    shared = written(entries.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared")
-    entries = written(entries.join(shared, "bkey"), "near-buckets")
+    every = nodes.select("nid", F.explode("bands").alias("bkey"))
+    shared = written(every.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared")
+    entries = written(every.join(shared, "bkey"), "near-buckets")
     degree = entries.groupBy("nid").agg(F.sum("n").alias("degree"))
     ranked = entries.join(degree, "nid").groupBy("bkey").agg(F.max(F.struct("degree", (-F.col("nid")).alias("minus"))).alias("top"))
     pivots = written(ranked.select("bkey", (-F.col("top.minus")).alias("pivot")), "near-pivots")
@@ -274,12 +274,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     comp = components(links)
     left = entries.join(comp, entries["nid"] == comp["node"], "left").select("bkey", "nid", F.coalesce("comp", "nid").alias("comp"))
     open_ = left.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi AND n > 2").select("bkey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = written(left.join(written(open_, "near-open-keys"), "bkey"), "near-open").join(nodes.select("nid", "sig"), "nid").join(sets.hint("merge"), "nid")
+    opened = written(left.join(written(open_, "near-open-keys"), "bkey"), "near-open")
+    members = opened.join(nodes.select("nid", "sig"), "nid").join(sets.hint("merge"), "nid")
     members = members.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("bkey", "nid", "comp", "sig", "set", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
     more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(similarity, rows), "a bigint, b bigint")
     comp = joined(comp, written(more, "near-links2"))
+    drop_written(entries, stars, sets, opened)  # the wide tables that only verification reads
 
     by_text = rows_in.groupBy("_tid").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     named = by_text.join(nodes.select("_tid", "nid"), "_tid").join(comp, F.col("nid") == comp["node"], "left")
@@ -288,6 +290,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     first = written(named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f")), "near-first")
     classes = named.join(first, "comp").select("_tid", F.col("f.class_id").alias("class_id"), (F.col("f.keep") == F.col("_tid")).alias("keep_text"))
     classes = written(classes, "near-classes")
+    drop_written(nodes)
     narrow = docs.select(F.col(id_col), F.md5(text_of(docs)).alias("_tid"))
     return narrow.join(classes, "_tid").select(id_col, F.col("_tid").alias("text_id"), "class_id", "keep_text")
 
