@@ -299,7 +299,7 @@ def _finder(trees, limits):
                 base, every = find_spans(text, trees, limits) if text else ((), ())
                 if every:
                     base, every = _points(text, base), _points(text, every)
-                out["n"].append([sum(k == j for k, _, _ in base) for j in range(4)])
+                out["n"].append([*(sum(k == j for k, _, _ in base) for j in range(4)), sum(k == 4 for k, _, _ in every), len(every)])
                 out["base"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest() if base else empty)
                 out["spans"].append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in every))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n"], pa.list_(pa.int64())), pa.array(out["base"], pa.string()), pa.array(out["spans"], pa.string())], ["id", "n", "base_sha256", "spans"])
@@ -308,10 +308,11 @@ def _finder(trees, limits):
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans of each row of docs.
 
-    The counts and the digest are of base spans, in code points with exclusive ends; spans
-    has the added ones too, joined in the same way. Candidates and spans have no greatest
+    The first four counts and the digest are of base spans, in code points with exclusive ends;
+    spans has the added ones too, joined in the same way, n_secret counts those of secrets, n_spans
+    all of them. Candidates and spans have no greatest
     length. A null text is an empty one; null and repeated ids give a row each; other columns
     don't matter.
     """
@@ -319,7 +320,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # A blob for the bytes as they are; the text can't be split between rows.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs).cast("binary").alias("text"))
     found = rows.mapInArrow(_finder(trees, limits), "id bigint, n array<bigint>, base_sha256 string, spans string")
-    return found.select(F.col("id").alias(id_col), *[F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)], "base_sha256", "spans")
+    return found.select(F.col("id").alias(id_col), *[F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)], "base_sha256", "spans", F.col("n")[4].alias("n_secret"), F.col("n")[5].alias("n_spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -105,6 +105,7 @@ def test_pii(spark, odd, none):
     t = 'my token = "473a0a5afa59a0df9c0d8d3cd5867fe7054a91c7" and a 2024-01-02 date'
     row = pii.find_pii(docs(spark, [(1, t, None), (2, "plain words at the house. No one.", None)])).orderBy("doc_id").collect()
     assert row[0].spans.startswith("secret:") and row[1].spans == ""
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) and r.n_secret == r.spans.count("secret:") for r in [*rows.values(), *row]) and row[0].n_secret == 1
     assert "<secret>" in pii.redacted(docs(spark, [(1, t, None)])).first().text
 
 
