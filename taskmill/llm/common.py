@@ -237,7 +237,7 @@ class Encoder:
     without, as the library does by default, each is its one id.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, run_bytes: int = 8 << 20, plain: bool = True):
+    def __init__(self, path: str, most: int = 250_000, run_bytes: int = 4 << 20, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
