@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, and SQL for those that it can express."""
+"""The queries op1 to op13 over whole tables, and SQL for those that it can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskmill.llm import ann, decontam, eod_scan, license_scan, mixing, near_dup, pii, quality, token_codec, warc_zip
+from taskmill.llm import ann, decontam, eod_scan, license_scan, mixing, near_dup, packing, pii, quality, sort_means, spelling, token_codec, warc_zip
 from taskmill.llm.common import written
 
 END_OF_TEXT = 50256
@@ -67,7 +67,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_table(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_pii, op4_token_counts, op5_warc, op6_token_files, op7_near_duplicates, op8_license_scan, op9_decontaminate, op10_nearest)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_table(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_pii, op4_token_counts, op5_warc, op6_token_files, op7_near_duplicates, op8_license_scan, op9_decontaminate, op10_nearest, op11_spelling, op12_packing, op13_clusters)}
 
 
 # ---------------------------------------------------------------- SQL (DuckDB)
@@ -151,5 +163,42 @@ FROM ds JOIN bs USING (h) JOIN n USING (iid) GROUP BY rid, doc_id, iid, item_id
 """
 
 
+# The checksum by its table, which its polynomial gives.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0,0,0,0,0,0,0,0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k FROM r WHERE len(run) >= 5 GROUP BY 1, 2),
+b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM g),
+h AS (SELECT b.*, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) + 1, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, k FROM h),
+n AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE len(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+v AS (SELECT word, n, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM n)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT v.word, n.word, n.n FROM v JOIN n ON v.less = n.word UNION SELECT n.word, v.word, v.n FROM v JOIN n ON v.less = n.word),
+q AS (SELECT word, count(*) AS n_near, min({'m': -m, 'w': other}) AS best FROM p GROUP BY word),
+f AS (SELECT n.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END::BIGINT AS form_n FROM n LEFT JOIN q USING (word)),
+s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL),
+e AS (SELECT s.word, s.root FROM s JOIN f ON f.word = s.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+
+def op13_sql(clusters: int = sort_means.CLUSTERS, rounds: int = sort_means.ROUNDS, seed: str = sort_means.SEED) -> str:
+    """Each round compares all vectors with all centroids."""
+    nearest = """a{i} AS (SELECT id, vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': cluster}}) AS m FROM whole, c{i} GROUP BY id, vec_id, v)"""
+    moved = """s{i} AS (SELECT m.c AS cluster, x, sum(y)::HUGEINT AS t, count(*) AS n FROM (SELECT m, unnest(v) AS y, generate_subscripts(v, 1) AS x FROM a{i}) GROUP BY 1, 2),
+c{j} AS (SELECT cluster, coalesce(any_value(n.c), any_value(c{i}.c)) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY x) AS c FROM s{i} GROUP BY 1) AS n USING (cluster) GROUP BY cluster)"""
+    steps = ",\n".join(f"{nearest.format(i=i)},\n{moved.format(i=i, j=i + 1)}" for i in range(rounds))
+    return f"""
+WITH whole AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR), v) - 1 AS cluster, v AS c FROM whole WHERE vec_id IS NOT NULL QUALIFY cluster < {clusters}),
+{steps},
+{nearest.format(i=rounds)},
+told AS (SELECT cluster, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, m.c::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN told ON told.cluster = m.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_warc": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op8_license_scan": op8_sql(), "op9_decontaminate": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_warc": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op8_license_scan": op8_sql(), "op9_decontaminate": OP9_SQL, "op11_spelling": OP11_SQL, "op13_clusters": op13_sql()}
