@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,31 +14,83 @@ from taskmill.llm.common import Encoder, text_of, with_end, worker_state
 CAPACITY, SEGMENTS = 2048, 256
 #: Padding that a sequence may keep before an example is cut to fill it, at most 1 in 128 of it.
 SLACK = CAPACITY // 128
+# Fixed value: the pattern of the pre-tokenizer by which texts are cut.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Tokens of examples that are packed together.
 BLOCK_TOKENS = 1 << 22
 
 
+#: Classes of bytes for the cuts of SpaceEncoder: 0 none, 1 letter, 2 digit, 3 mark, 4 apostrophe, 5 white.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x27] = 4
+_KIND[[0x09, 0x0A, 0x0D, 0x20]] = 5
+#: Whether a part always ends between two neighbours: behind a digit, where letters and marks
+#: meet (an apostrophe may begin a part of letters), and where white space ends.
+_PARTED = np.zeros((8, 8), bool)
+_PARTED[1, [2, 3, 4]] = _PARTED[2, 1:5] = _PARTED[3, [1, 2]] = _PARTED[5, :5] = True
+_PARTED = _PARTED.ravel()
+
+
 class SpaceEncoder(Encoder):
-    """An Encoder for tokenizers that drop white space and never join what it parts.
+    """An Encoder for tokenizers that lower-case, drop white space and never join what it parts.
 
-    Texts are cut behind runs of blanks, tabs and line breaks: nothing in such a tokenizer
-    looks across them (normal forms don't compose with them, lower-casing goes by character,
-    no added token's name holds one). Each distinct piece is encoded once while it is known.
+    Texts are cut where a part of the pre-tokenizer's pattern always ends, and white space is
+    left out; capitals without a combining mark are lower-cased first. (What has composed
+    forms is a character and the marks behind it, which are never cut from it; only ASCII
+    follows a cut inside a word.) Each distinct piece is encoded once while it is known. In a
+    text with the name of an added token, in any case, only white space parts pieces.
     """
 
     def __init__(self, path: str, **more):
         super().__init__(path, plain=False, **more)
-        probe = "A b'́\tΣ 1.x\n<|endoftext|> ́e"
+        probe = "A b'\u0301\t\u03a3 1.x\n<|endoftext|> \u0301e"
         parts = [i for p in probe.split() for i in self.model.encode(p, add_special_tokens=False).ids]
         self.parted = self.model.encode(probe, add_special_tokens=False).ids == parts and not any(c in x for x in self.added for c in (b" ", b"\t", b"\n", b"\r"))
+        # The pattern and the normal form that the finer cuts go by.
+        form = json.loads(self.model.to_str())
+        pattern = [p.get("pattern", {}).get("Regex") for p in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        normal = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        self.fine = pattern[:1] == [PATTERN] and normal == ["NFC", "Replace", "Lowercase"]
+
+    def _run(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        self._begins = np.unique(offs[:-1][offs[:-1] < n])
+        if self.parted and n > 1:
+            kind = _KIND[data]
+            white = kind == 5
+            first = kind.copy()
+            first[1:][(data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)] = 1  # a Latin letter's second byte
+            cut = _PARTED[(first[:-1] << 3) | kind[1:]]
+            capital = (data[:-1] >= 0x41) & (data[:-1] <= 0x5A) & (data[1:] < 0x80)
+            lowered = data.copy()
+            lowered[:-1][capital] += 0x20
+            for row in range(len(offs) - 1) if not self.fine else self._named(data, offs):
+                a, b = offs[row], offs[row + 1]
+                cut[a : b - 1] = white[a : b - 1] & ~white[a + 1 : b]
+                lowered[a:b] = data[a:b]
+            before = np.append(0, np.cumsum(~white))
+            mask = np.zeros(before[-1] + 1, bool)
+            mask[before[1:-1][cut]] = True
+            mask[before[offs]] = True
+            data, offs = lowered[~white], before[offs]
+            self._begins = np.flatnonzero(mask[:-1])
+        return super()._run(data, offs)
 
     def _cut(self, data: np.ndarray, offs: np.ndarray, whole: list[int]) -> np.ndarray:
-        mask = np.zeros(len(data) + 1, bool)
-        if self.parted and len(data) > 1:
-            white = (data == 0x20) | (data == 0x0A) | (data == 0x09) | (data == 0x0D)
-            mask[1 : len(data)] = white[:-1] & ~white[1:]
-        mask[offs] = True
-        return np.flatnonzero(mask[: len(data)])
+        return self._begins
+
+    def _named(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
+        """Rows that hold the name of an added token in any case."""
+        raw, rows = bytes(data).lower(), set()
+        for name in self.added:
+            at = raw.find(name.lower())
+            while at >= 0:
+                rows.add(int(np.searchsorted(offs, at, side="right")) - 1)
+                at = raw.find(name.lower(), at + len(name))
+        return sorted(rows)
 
     def _whole(self, data: np.ndarray, offs: np.ndarray) -> list[int]:
         return []

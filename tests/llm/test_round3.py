@@ -170,10 +170,10 @@ def test_packing_of_documents(spark):
 def test_pieces_encode_as_whole_texts(spark):
     path = queries.tokenizer_path("word_bpe_49k.json")
     model, ours = Tokenizer.from_file(path), packing.SpaceEncoder(path)
-    assert ours.parted
+    assert ours.parted and ours.fine
     rng = np.random.default_rng(9)
     marks = ["́", "̧", "Σ", "σ", "İ", "ß", "'s", "'", " ", " ", "\n", "\t", "\r", " ", " ", "\x0b", "\x1d", "​", "é", "e", "가", "ᆨ", "Å", "1", "٣", "½", "!", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", "the", "ﬀ", "𝔸", "̈́", "क़"]
-    texts = ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(4000)]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(30_000)]
     import pyarrow as pa
 
     for lo, ids, counts in ours.runs(pa.array(texts)):
