@@ -21,27 +21,32 @@ def is_uniform(counts: DataFrame, size: int) -> DataFrame:
     return counts.agg(F.coalesce((F.min("n") == size) & (F.max("n") == size), F.lit(False)).alias("uniform"))
 
 
+def _summary(by_key: DataFrame, group_size: int, *more) -> DataFrame:
+    """The one-row summary of (db_key, n, flags), a row for each key, and more aggregates of it."""
+    entries = F.array_sort(F.collect_list(F.when(F.col("db_key").isNotNull(), F.struct("db_key", "n"))))
+    one = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("task_count"), F.count(F.lit(1)).alias("database_count"), entries.alias("e"), F.coalesce(F.sum("flags"), F.lit(0)).alias("robustness_task_count"), F.coalesce((F.min("n") == group_size) & (F.max("n") == group_size), F.lit(False)).alias("balanced_110"), *more)
+    names = one.columns[5:]
+    return one.select("task_count", "database_count", F.col("e.db_key").alias("databases"), F.map_from_entries("e").alias("tasks_per_database"), "robustness_task_count", "balanced_110", *names)
+
+
 def summarise(tasks: DataFrame, group_size: int = 110) -> DataFrame:
     """The one-row summary of a task relation (db_key, has_colloquial).
 
     Counts and flags are aggregated by key at once, then over the keys: one shuffle by key.
     """
-    by_key = tasks.groupBy("db_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_colloquial").alias("flags"))
-    entries = F.array_sort(F.collect_list(F.struct("db_key", "n")))
-    one = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("task_count"), F.count(F.lit(1)).alias("database_count"), entries.alias("e"), F.coalesce(F.sum("flags"), F.lit(0)).alias("robustness_task_count"), F.coalesce((F.min("n") == group_size) & (F.max("n") == group_size), F.lit(False)).alias("balanced_110"))
-    return one.select("task_count", "database_count", F.col("e.db_key").alias("databases"), F.map_from_entries("e").alias("tasks_per_database"), "robustness_task_count", "balanced_110")
+    return _summary(tasks.groupBy("db_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_colloquial").alias("flags")), group_size)
 
 
 def load_summary(spark: SparkSession, path: str, strict: bool = True, group_size: int = 110) -> DataFrame:
     """summarise() of a task file; unavailable with zero counts if it is missing, and with the
-    error too if it can't be parsed. Errors are rows of the reader, all in one job; other
-    failures are raised. The row has an entry per key, so that a file's keys must fit one row."""
+    error too if it can't be parsed. Errors are rows of the reader, aggregated with the others;
+    other failures are raised. The row has an entry per key, so that a file's keys must fit one row."""
     gone = {"available": False, "path": str(path), "task_count": 0, "database_count": 0, "databases": None, "tasks_per_database": {}, "robustness_task_count": None, "balanced_110": None, "error": None}
     if sources.is_task_file(spark, path):
         tasks = sources.read_tasks(spark, path, strict)
-        # With the key beside it: Spark's JSON reader refuses to give errors alone.
-        wrong = tasks.agg(F.max(F.struct("error", "db_key")).alias("w")).select(F.col("w.error").alias("wrong"))
-        row = summarise(tasks.filter("error IS NULL"), group_size).crossJoin(wrong).first().asDict()  # one row each
+        fine = F.col("error").isNull()
+        by_key = tasks.groupBy("db_key").agg(F.count_if(fine).alias("n"), F.count_if(fine & F.col("has_colloquial")).alias("flags"), F.min("error").alias("error"))
+        row = _summary(by_key, group_size, F.min("error").alias("wrong")).first().asDict()
         error = row.pop("wrong")
         gone |= {"error": error} if error is not None else {"available": True} | row
     return spark.createDataFrame([tuple(gone.values())], SUMMARY)

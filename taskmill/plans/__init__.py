@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from taskmill import functions as X
 from taskmill import operators as O
 from taskmill import sources as S
-from taskmill import streaming
+from taskmill import streaming, tables
+from taskmill.sources import json_array
 
 _all: dict = {}
 _sql: dict[str, str] = {}
@@ -218,3 +219,13 @@ def ext_outcome_table(spark, d):
 def ext_self_consistency(spark, d):
     m = table(spark, d, "nation").select(F.col("n_name").alias("id"), (F.col("n_regionkey") == 1).alias("supports_self_consistency"))
     return O.self_consistency_runs(m, 3)
+
+
+@query("SELECT coalesce(nullif(source, ''), 'unknown') AS db_key, count(*) AS n, count(*) FILTER (text <> '') AS flags FROM documents GROUP BY 1")
+def json_array_scan(spark, d):
+    """Documents as files of one JSON array each, read back by the strict reader in ranges."""
+    folder = tables.new_path(spark, "task-files")
+    json_array.write_arrays(table(spark, d, "documents").select(F.col("source").alias("db_id"), F.col("text").alias("NLQ_colloquial")), folder)
+    tasks = S.read_task_files(spark, folder)
+    # An error would show as a key that the table doesn't have.
+    return tasks.groupBy(F.coalesce("db_key", "error").alias("db_key")).agg(F.count(F.lit(1)).alias("n"), F.count_if("has_colloquial").alias("flags"))

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskmill.functions import UNKNOWN, key_or_unknown, truthy_text
+from taskmill.sources import json_array
 
 TASKS = T.StructType([T.StructField("ord", T.LongType()), T.StructField("db_key", T.StringType()), T.StructField("has_colloquial", T.BooleanType())])
+FILE_TASKS = T.StructType([T.StructField("file", T.StringType()), *TASKS.fields, T.StructField("error", T.StringType())])
 METHODS = T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("id", "title", "family", "description")], T.StructField("supports_self_consistency", T.BooleanType())])
 TRACKS = T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("id", "field", "title", "description")]])
 IDS = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("id", T.StringType())])
@@ -38,6 +40,8 @@ TRACK_ROWS = (
 )
 # Databases that belong to the system.
 SYSTEM_DATABASES = ("admin", "config", "local")
+#: White space of JSON.
+_BLANK = b" \t\n\r"
 
 
 class TaskFileError(ValueError):
@@ -80,36 +84,69 @@ def is_task_file(spark: SparkSession, path: str) -> bool:
     return path_kind(spark, path) == "file"
 
 
+def parse_element(raw: bytes, first: bool, last: bool, key: str = "db_id", flag: str = "NLQ_colloquial") -> list[tuple[str, bool]]:
+    """(key, flag) of an element of json_array.elements(), as parse_tasks() has them; an array
+    or an object without any has one element and no row."""
+    text = raw.strip(_BLANK)
+    if first and last and not text.startswith(b"["):
+        return [x[1:] for x in parse_tasks(raw, key, flag)]
+    if first and not text.startswith(b"[") or last and not text.endswith(b"]"):
+        raise TaskFileError("the file is not an array of objects")
+    text = text[1 if first else 0 : len(text) - last]
+    if first and last and not text.strip(_BLANK):
+        return []
+    try:
+        item = json.loads(text.decode("utf-8"))
+    except (ValueError, RecursionError) as error:
+        raise TaskFileError(str(error)) from None
+    if not isinstance(item, dict):
+        raise TaskFileError("the file is not an array of objects")
+    return [(str(item.get(key) or UNKNOWN), bool(item.get(flag)))]
+
+
 def _parser(key: str, flag: str):
     def parse(batches):
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            rows = []
+            for file, at, last, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows, error = parse_tasks(raw, key, flag), None
+                    # Half of a surrogate pair is no character of a Spark string.
+                    rows += [(file, at, name.encode("utf-8", "replace").decode(), is_set, None) for name, is_set in parse_element(raw, at == 0, last, key, flag)]
                 except TaskFileError as wrong:
-                    rows, error = [(None, None, None)], str(wrong)[:500]
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.bool_()), strict=True)), pa.array([error] * len(rows), pa.string())], ["ord", "db_key", "has_colloquial", "error"])
+                    rows.append((file, None, None, None, f"element {at}: {wrong}"[:500]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)], FILE_TASKS.names)
 
     return parse
 
 
+def read_task_files(spark: SparkSession, path: str, key: str = "db_id", flag: str = "NLQ_colloquial") -> DataFrame:
+    """file, ord, db_key, has_colloquial, error of task files: one, a folder or a pattern of names.
+
+    Parsed as the format demands, in as many tasks as Spark splits the files into (see
+    json_array; a first pass runs at once). Each element that isn't as it should be has a row
+    with an error and nothing else, and so has a file that begins with a byte order mark or is
+    compressed: a file with any such row can't be parsed. Spark doesn't list files of no
+    bytes, so that these have no row. Other failures are raised.
+    """
+    arrays = json_array.scan(spark, path)
+    rows = json_array.elements(spark, path, arrays).mapInArrow(_parser(key, flag), FILE_TASKS)
+    wrong = literal_rows(spark, [(name, None, None, None, what) for name, what in arrays.wrong.items()], FILE_TASKS)
+    return rows.unionByName(wrong) if arrays.wrong else rows
+
+
 def read_tasks(spark: SparkSession, path: str, strict: bool = True, key: str = "db_id", flag: str = "NLQ_colloquial") -> DataFrame:
     """ord, db_key, has_colloquial, error of a task file, on any file system that Spark knows.
 
-    A file that can't be parsed has one row with an error and nothing else; any other failure
-    (a lost executor, an unreadable disk) is raised. strict parses as the format demands: one
-    JSON array can't be split, so it is one partition, of 2 GB at most. Otherwise Spark's own
-    JSON reader is used; it accepts more than the strict one and keeps `0` and `false` as keys
-    of that text.
+    strict reads by read_task_files(). Otherwise Spark's own JSON reader is used; it accepts more
+    than the strict one, keeps `0` and `false` as keys of that text, and can't split; a file
+    that it can't parse has one row with an error and nothing else.
     """
     if strict:
-        schema = T.StructType([*TASKS.fields, T.StructField("error", T.StringType())])
         status = path_status(spark, path)
-        if status is not None and not status.getLen():  # Spark reads no row of an empty file
-            return literal_rows(spark, [(None, None, None, "the file is empty")], schema)
-        raw = spark.read.format("binaryFile").load(str(path)).select("content")
-        return raw.mapInArrow(_parser(key, flag), schema)
+        if status is not None and status.isFile() and not status.getLen():
+            return literal_rows(spark, [(None, None, None, "the file is empty")], T.StructType(FILE_TASKS.fields[1:]))
+        return read_task_files(spark, path, key, flag).drop("file")
     wrong = F.col("_wrong")
     rows = spark.read.schema(f"`{key}` string, `{flag}` string, _wrong string").option("multiLine", True).option("columnNameOfCorruptRecord", "_wrong").json(str(path))
     whole = lambda c: F.when(wrong.isNull(), c)
