@@ -229,3 +229,42 @@ def json_array_scan(spark, d):
     tasks = S.read_task_files(spark, folder)
     # An error would show as a key that the table doesn't have.
     return tasks.groupBy(F.coalesce("db_key", "error").alias("db_key")).agg(F.count(F.lit(1)).alias("n"), F.count_if("has_colloquial").alias("flags"))
+
+
+# Fixed choice of this query: which event of the table stands for which event of a run.
+_RUN_KINDS = {"signup": "started", "view": "progress", "error": "paused", "click": "resumed", "purchase": "finished"}
+
+
+def run_events(events: DataFrame) -> DataFrame:
+    """The table's events as those of runs: a run for each user and day, done as props tells, of 120."""
+    kind = F.create_map(*[F.lit(x) for pair in _RUN_KINDS.items() for x in pair])[F.col("event_type")]
+    done = F.get_json_object("props", "$.k").cast("long")
+    run = F.concat_ws("-", F.pmod("user_id", F.lit(40)).cast("string"), F.date_format("ts", "dd"))
+    return events.select(run.alias("run"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.when(kind == "progress", done).alias("done"), F.lit(120).cast("long").alias("total"))
+
+
+@query("""WITH e AS (SELECT (user_id % 40)::VARCHAR || '-' || strftime(ts, '%d') AS run, event_id, ts, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'progress' WHEN 'error' THEN 'paused' WHEN 'click' THEN 'resumed' ELSE 'finished' END AS kind, CASE WHEN event_type = 'view' THEN (props->>'$.k')::BIGINT END AS done FROM events),
+b AS (SELECT *, min(ts) FILTER (kind = 'started') OVER (PARTITION BY run) AS begun FROM e),
+f AS (SELECT *, min(ts) FILTER (kind = 'finished') OVER (PARTITION BY run) AS over FROM b WHERE ts >= begun),
+l AS (SELECT * FROM f WHERE over IS NULL OR ts <= over),
+c AS (SELECT *, lead(ts) OVER (PARTITION BY run ORDER BY ts, event_id) AS next, last_value(CASE kind WHEN 'started' THEN 'running' WHEN 'resumed' THEN 'running' WHEN 'paused' THEN 'paused' WHEN 'finished' THEN 'finished' END IGNORE NULLS) OVER (PARTITION BY run ORDER BY ts, event_id) AS state FROM l),
+g AS (SELECT run, arg_max(state, ts) AS status, min(ts) AS started_at, max(ts) AS last_at, coalesce(max(done), 0) AS done, coalesce(sum(CASE WHEN state = 'running' THEN epoch_us(next) - epoch_us(ts) END), 0)::BIGINT AS micros FROM c GROUP BY run)
+SELECT run, status, epoch_us(started_at) AS started_at, epoch_us(last_at) AS last_at, done, 120::BIGINT AS total, micros / 1e6::DOUBLE AS active_seconds, CASE WHEN status <> 'finished' AND done > 0 THEN greatest(120 - done, 0)::DOUBLE / done * (micros / 1e6::DOUBLE) END AS eta_seconds FROM g""")
+def ext_run_states(spark, d):
+    """Final states of runs, one for each user group and day."""
+    from taskmill.streaming.monitor import run_states
+
+    out = run_states(run_events(table(spark, d, "events")))
+    return out.withColumns({c: F.unix_micros(c) for c in ("started_at", "last_at")})
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 36 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS number FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 36 HOUR AS session_end, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, number""")
+def ext_sessions(spark, d):
+    """Sessions of users, of events that come in twice, the second time a little later."""
+    from taskmill.streaming import sessions as by_gap
+
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    again = e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 SECONDS"))
+    return by_gap.sessions(by_gap.without_repeats(e.unionByName(again)), gap="36 hours")
