@@ -268,3 +268,62 @@ def ext_sessions(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
     again = e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 SECONDS"))
     return by_gap.sessions(by_gap.without_repeats(e.unionByName(again)), gap="36 hours")
+
+
+@query("""WITH l AS (SELECT event_id, user_id % 7 AS who, ts FROM events WHERE event_type = 'purchase'),
+r AS (SELECT event_id AS commit_id, user_id % 7 AS who, date_trunc('hour', ts) AS ts, value FROM events WHERE event_type IN ('signup', 'error')),
+o AS (SELECT who, ts, max({'value': value, 'id': commit_id}) AS best FROM r GROUP BY 1, 2)
+SELECT l.event_id, o.best.id AS commit_id, o.best.value AS commit_value FROM l ASOF LEFT JOIN o ON l.who = o.who AND l.ts >= o.ts""")
+def ext_as_of(spark, d):
+    """Which commit each result was made by: the last one of the same group as of the result's time."""
+    from taskmill.operators.temporal import as_of
+
+    e = table(spark, d, "events")
+    left = e.filter("event_type = 'purchase'").select("event_id", (F.col("user_id") % 7).alias("who"), "ts")
+    right = e.filter("event_type IN ('signup', 'error')").select((F.col("user_id") % 7).alias("who"), F.date_trunc("hour", "ts").alias("ts"), "value", F.col("event_id").alias("commit_id"))
+    return as_of(left, right, "who", "ts").select("event_id", "found.commit_id", F.col("found.value").alias("commit_value"))
+
+
+@query("""WITH s AS (SELECT event_id AS run_id, user_id % 40 AS host, ts AS a, ts + to_seconds((value * value)::BIGINT) AS b FROM events WHERE event_type <> 'error'),
+w AS (SELECT event_id AS window_id, user_id % 40 AS host, ts AS c, ts + to_seconds(power(1.13, (props->>'$.k')::DOUBLE)::BIGINT) AS d FROM events WHERE event_type = 'error')
+SELECT run_id, window_id, (epoch_us(least(b, d)) - epoch_us(greatest(a, c))) // 1000000 AS seconds FROM s JOIN w ON s.host = w.host AND a < d AND c < b""")
+def ext_interval_join(spark, d):
+    """Runs and the windows in which their host was unavailable, seconds to days long."""
+    from taskmill.operators.temporal import interval_join
+
+    e = table(spark, d, "events").withColumn("host", F.col("user_id") % 40).withColumn("ts", F.col("ts").cast("timestamp"))
+    later = lambda seconds: F.timestamp_micros(F.unix_micros("ts") + F.rint(seconds).cast("long") * 1_000_000)
+    runs = e.filter("event_type <> 'error'").select(F.col("event_id").alias("run_id"), "host", F.col("ts").alias("a"), later(F.col("value") * F.col("value")).alias("b"))
+    down = e.filter("event_type = 'error'").select(F.col("event_id").alias("window_id"), "host", F.col("ts").alias("c"), later(F.pow(F.lit(1.13), F.get_json_object("props", "$.k").cast("double"))).alias("d"))
+    both = interval_join(runs, down, "host", ("a", "b"), ("c", "d"))
+    micros = F.unix_micros(F.least("a.b", "b.d")) - F.unix_micros(F.greatest("a.a", "b.c"))
+    return both.select("a.run_id", "b.window_id", F.floor(micros / 1_000_000).alias("seconds"))
+
+
+_FOLD = "list_reduce(list_prepend(0::BIGINT, list_reverse(h)), lambda d, x: (d * {base} + x) % {p})"
+
+
+def _digest_sql() -> str:
+    from taskmill.operators.sequences import MODULI
+
+    folds = ", ".join(_FOLD.format(p=p, base=base) + f" AS d{i}" for i, (p, base) in enumerate(MODULI, 1))
+    return f"""WITH s AS (SELECT event_type, list(('0x' || substr(md5(user_id::VARCHAR), 1, 7))::BIGINT + 1 ORDER BY ts, user_id) AS h FROM events GROUP BY 1)
+SELECT event_type, len(h)::BIGINT AS n, {folds} FROM s"""
+
+
+@query(_digest_sql())
+def ext_sequence_digest(spark, d):
+    """Digests of the users of each kind of event, in the order of time."""
+    from taskmill.operators.sequences import sequence_digests
+
+    e = table(spark, d, "events").select("event_type", F.col("ts").alias("ord"), F.col("user_id").cast("string").alias("id"))
+    return sequence_digests(e, ["event_type"])
+
+
+@query("SELECT list(user_id ORDER BY ts, user_id::VARCHAR) = list(user_id ORDER BY event_id, user_id::VARCHAR) AS matches FROM events")
+def ext_same_order(spark, d):
+    """Whether events come in the order of their ids: two sequences of the whole table."""
+    from taskmill.operators.sequences import same_order
+
+    e = table(spark, d, "events").withColumn("id", F.col("user_id").cast("string"))
+    return same_order(e.select(F.col("ts").alias("ord"), "id"), e.select(F.timestamp_micros("event_id").cast("timestamp_ntz").alias("ord"), "id"))

@@ -1,0 +1,83 @@
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from taskmill.operators import sequences, temporal
+
+T0 = datetime(2024, 1, 1)
+LEFT, RIGHT = "k string, ts timestamp, id long, found int", "k string, at timestamp, v int, ts string"
+
+
+@pytest.mark.parametrize("part_rows", [temporal.PART_ROWS, 40])
+@pytest.mark.parametrize("tolerance", [None, 30.0])
+def test_as_of_with_a_hot_key(spark, part_rows, tolerance):
+    made = random.Random(3)
+    key = lambda: made.choice(["hot"] * 6 + ["a", "b", None])
+    when = lambda: made.choice([None] + [T0 + timedelta(seconds=made.randrange(4000))] * 30)
+    left = [(key(), when(), i) for i in range(500)] + [("alone", T0, 900)]
+    right = [(key(), when(), made.randrange(5), made.choice(["x", None])) for _ in range(150)] + [("late", T0, 1, "x")]
+    found = temporal.as_of(spark.createDataFrame(left, LEFT.rsplit(",", 1)[0]).repartition(3), spark.createDataFrame(right, RIGHT).repartition(2), "k", "ts", "at", tolerance, part_rows)
+    got = {r.id: tuple(r.found) if r.found else None for r in found.collect()}
+    want = {}
+    for k, t, i in left:
+        fit = [r for r in right if k is not None and t is not None and r[0] == k and r[1] is not None and r[1] <= t]
+        best = max(fit, key=lambda r: (r[1], r[2], r[3] or ""), default=None)
+        want[i] = best if best and (tolerance is None or (t - best[1]).total_seconds() <= tolerance) else None
+    assert got == want
+    none = found.sparkSession.createDataFrame([], RIGHT)
+    assert temporal.as_of(spark.createDataFrame(left[:3], LEFT.rsplit(",", 1)[0]), none, "k", "ts", "at").filter("found IS NOT NULL").isEmpty()
+
+
+@pytest.mark.parametrize("lengths", [[1], [1, 5, 60, 3600, 10**6], [1 << k for k in range(20)]])
+def test_interval_join(spark, lengths):
+    """Spans of very unequal lengths, each pair once."""
+    made = random.Random(5)
+
+    def rows(n):
+        out = [(made.choice(["a", "a", "b"]), T0 + timedelta(seconds=(s := made.randrange(-5000, 5000))), T0 + timedelta(seconds=s + made.choice(lengths)), i) for i in range(n)]
+        return out + [(None, T0, T0 + timedelta(days=9), n), ("a", None, T0, n + 1), ("a", T0, T0, n + 2), ("a", T0, T0 - timedelta(1), n + 3)]
+
+    one, two = rows(120), rows(90)
+    kind = "k string, s timestamp, e timestamp, id long"
+    out = temporal.interval_join(spark.createDataFrame(one, kind), spark.createDataFrame(two, kind), "k", ("s", "e"), ("s", "e"))
+    got = Counter((r.a.id, r.b.id) for r in out.collect())
+    want = Counter((x[3], y[3]) for x in one for y in two if x[0] and x[0] == y[0] and x[1] and y[1] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
+    assert got == want
+    assert temporal.interval_join(spark.createDataFrame(one, kind).limit(0), spark.createDataFrame(two, kind), "k", ("s", "e"), ("s", "e")).count() == 0
+
+
+def test_order_of_a_million(spark):
+    n = 1_000_000
+    a = spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("t"), F.col("id") * 7 % 1000).alias("id"))
+    cases = {
+        "equal": (a.select((F.col("ord") * 3 - 5).alias("ord"), "id"), True),
+        "two swapped": (a.withColumn("ord", F.when(F.col("ord") == 5, 6).when(F.col("ord") == 6, 5).otherwise(F.col("ord"))), False),
+        "shifted": (a.withColumn("ord", (F.col("ord") + 1) % n), False),
+        "shorter": (a.filter(F.col("ord") < n - 1), False),
+        "empty": (a.limit(0), False),
+    }
+    for name, (b, want) in cases.items():
+        assert sequences.same_order(a, b).first().matches is want, name
+    assert sequences.same_order(a.limit(0), a).first().matches is None
+
+
+def test_rows_are_compared_where_digests_agree(spark, monkeypatch):
+    """With digests that tell nothing, unequal sequences of one length still differ."""
+    monkeypatch.setattr(sequences, "id_hash", lambda c: F.lit(1).cast("long"))
+    ids = lambda *x: spark.createDataFrame(list(enumerate(x)), "ord int, id string")
+    assert [sequences.same_order(ids("a", None, "c"), b).first().matches for b in (ids("a", None, "c"), ids("a", "b", "c"), ids("c", None, "a"))] == [True, False, False]
+
+
+def test_digests_of_many_sequences(spark):
+    made = random.Random(2)
+    rows = [(made.choice(["x", "y", None]), made.randrange(400), made.choice(["a", "b", None])) for _ in range(900)]
+    got = {r.k: (r.n, r.d1, r.d2) for r in sequences.sequence_digests(spark.createDataFrame(rows, "k string, ord int, id string").repartition(5), ["k"]).collect()}
+    hashes = {r.id: r.h for r in spark.createDataFrame([("a",), ("b",), (None,)], "id string").withColumn("h", sequences.id_hash(F.col("id"))).collect()}
+    for k in ("x", "y", None):
+        mine = sorted((o, i is not None, i or "") for q, o, i in rows if q == k)
+        ids = [i if there else None for _, there, i in mine]
+        assert got[k] == (len(ids), *(sum(hashes[i] * pow(base, j, p) for j, i in enumerate(ids)) % p for p, base in sequences.MODULI))
+    assert len(set(hashes.values())) == 3
