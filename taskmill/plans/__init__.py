@@ -327,3 +327,142 @@ def ext_same_order(spark, d):
 
     e = table(spark, d, "events").withColumn("id", F.col("user_id").cast("string"))
     return same_order(e.select(F.col("ts").alias("ord"), "id"), e.select(F.timestamp_micros("event_id").cast("timestamp_ntz").alias("ord"), "id"))
+
+
+def _bootstrap_sql(replicates: int = 64) -> str:
+    from taskmill.operators.statistics import POISSON
+
+    weight = " + ".join(f"(u >= {p})::INT" for p in POISSON)
+    return f"""WITH r AS (SELECT o_orderpriority AS method, o_custkey AS task, o_totalprice AS score, unnest(range(0, {replicates})) AS i FROM orders),
+u AS (SELECT *, ('0x' || substr(md5('0:' || (i // 8)::VARCHAR || ':' || task::VARCHAR), (4 * (i % 8) + 1)::INT, 4))::BIGINT AS u FROM r),
+w AS (SELECT method, i + 1 AS b, score, {weight} AS w FROM u UNION ALL SELECT o_orderpriority, 0, o_totalprice, 1 FROM orders),
+m AS (SELECT method, b, sum(w) AS w, sum(w * score) / sum(w) AS mean FROM w WHERE w > 0 GROUP BY 1, 2),
+d AS (SELECT m.*, m.mean - n.mean AS diff FROM m LEFT JOIN m n ON n.b = m.b AND n.method = '1-URGENT')
+SELECT method, max(w) FILTER (b = 0)::BIGINT AS n, round(max(mean) FILTER (b = 0), 4) AS mean, round(quantile_cont(mean, 0.025) FILTER (b > 0), 4) AS low, round(quantile_cont(mean, 0.975) FILTER (b > 0), 4) AS high,
+    round(max(diff) FILTER (b = 0), 4) AS diff, round(quantile_cont(diff, 0.025) FILTER (b > 0), 4) AS diff_low, round(quantile_cont(diff, 0.975) FILTER (b > 0), 4) AS diff_high FROM d GROUP BY method"""
+
+
+@query(_bootstrap_sql())
+def ext_bootstrap(spark, d):
+    """Mean prices of orders by priority with intervals, and their differences to the first one's."""
+    from taskmill.operators.statistics import bootstrap
+
+    o = table(spark, d, "orders").withColumnsRenamed({"o_orderpriority": "method", "o_custkey": "task", "o_totalprice": "score"})
+    out = bootstrap(o, baseline="1-URGENT")
+    return out.select("method", "n", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS method, nullif(o_orderpriority, '5-LOW') AS track, o_custkey % 3 AS db, o_totalprice AS score FROM orders)
+SELECT method, track, db, grouping_id(method, track, db)::INT AS level, count(*) AS n, round(avg(score), 4) AS avg_score FROM o GROUP BY CUBE (method, track, db)""")
+def ext_report(spark, d):
+    """Results by method, track and database with all subtotals; a track that is null is no total."""
+    from taskmill.operators.statistics import report
+
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("method"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("track"), (F.col("o_custkey") % 3).alias("db"), F.col("o_totalprice").alias("score"))
+    out = report(o, ("method", "track", "db"), ("score",))
+    return out.withColumn("avg_score", F.round("avg_score", 4))
+
+
+@query("SELECT event_type, count(*) AS n, true AS distinct_within, true AS median_within FROM events GROUP BY 1")
+def ext_merged_sketches(spark, d):
+    """Users and median values by kind of event, from sketches stored by kind and day, held against
+    exact figures: whether each is within its sketch's bound."""
+    from taskmill.operators import statistics as Q
+
+    e = table(spark, d, "events")
+    days = tables.written(Q.sketches(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value"), "sketches")
+    told = Q.estimates(Q.merged(days, ["event_type"]), ["event_type"])
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.5 - Q.RANK_ERROR), F.lit(0.5 + Q.RANK_ERROR))).alias("around"))
+    within = told.join(exact, "event_type").withColumn("median", F.col("quantiles")[0])
+    return within.select("event_type", "n", (F.abs(F.col("distinct") - F.col("users")) <= F.ceil(F.col("users") * Q.DISTINCT_ERROR)).alias("distinct_within"), F.col("median").between(F.col("around")[0], F.col("around")[1]).alias("median_within"))
+
+
+@query("""WITH old AS (SELECT CASE WHEN doc_id % 50 <> 0 THEN doc_id END AS doc_id, text, lang, source FROM documents WHERE doc_id % 10 <> 1),
+new AS (SELECT CASE WHEN doc_id % 50 <> 0 THEN doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS text, CASE WHEN doc_id % 14 = 0 THEN NULL ELSE lang END AS lang, source FROM documents WHERE doc_id % 10 <> 2
+    UNION ALL SELECT doc_id, text, lang, source FROM documents WHERE doc_id % 11 = 3 AND doc_id % 7 <> 0 AND doc_id % 10 <> 2 AND doc_id % 50 <> 0),
+r AS (SELECT doc_id, text, lang, source, sum(o)::BIGINT AS o, sum(n)::BIGINT AS n FROM (SELECT *, 1 AS o, 0 AS n FROM old UNION ALL SELECT *, 0, 1 FROM new) GROUP BY ALL)
+SELECT doc_id, sum(o)::BIGINT AS n_old, sum(n)::BIGINT AS n_new, CASE WHEN sum(o) = 0 THEN 'added' WHEN sum(n) = 0 THEN 'removed' WHEN bool_and(o = n) THEN 'same' WHEN bool_and(o > 0 AND n > 0) THEN 'repeated' ELSE 'changed' END AS change,
+    CASE WHEN sum(o) = 1 AND sum(n) = 1 AND NOT bool_and(o = n) THEN concat_ws(',', CASE WHEN count(DISTINCT text) > 1 THEN 'text' END, CASE WHEN count(DISTINCT coalesce(lang, '?')) > 1 THEN 'lang' END) END AS fields FROM r GROUP BY doc_id""")
+def ext_release_diff(spark, d):
+    """Two releases of documents: some left out, changed or repeated, some without a key."""
+    from taskmill.operators.releases import release_diff
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    i = F.col("doc_id")
+    key = F.when(i % 50 != 0, i)
+    old = docs.filter(i % 10 != 1).withColumn("doc_id", key)
+    new = docs.filter(i % 10 != 2).select(key.alias("doc_id"), F.when(i % 7 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"), F.when(i % 14 != 0, F.col("lang")).alias("lang"), "source")
+    again = docs.filter((i % 11 == 3) & (i % 7 != 0) & (i % 10 != 2) & (i % 50 != 0))
+    return release_diff(old, new.unionByName(again), "doc_id").withColumn("fields", F.array_join("fields", ","))
+
+
+@query("""SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'error') AND ((props->>'$.k')::BIGINT BETWEEN 20 AND 39 OR value > 60 OR NOT (value > 1))
+    AND NOT ((props->>'$.k')::BIGINT IN (21, 23, 25) OR event_type = 'error' AND user_id < 100)""")
+def ext_document_query(spark, d):
+    """Events that a user's filter asks for, by columns and by a field of their JSON."""
+    from taskmill.operators.filters import matching
+
+    asked = {"event_type": {"$in": ["click", "view", "error"]}, "$or": [{"k": {"$gte": 20, "$lt": 40}}, {"value": {"$gt": 60}}, {"value": {"$not": {"$gt": 1}}}], "$nor": [{"k": {"$in": [21, 23, 25]}}, {"event_type": "error", "user_id": {"$lt": 100}}], "k.x": {"$exists": False}}
+    return matching(table(spark, d, "events"), asked, "props").select("event_id")
+
+
+def _literals(names: str, rows) -> str:
+    """SELECT of rows of values, in DuckDB's SQL."""
+    shown = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(f"""WITH m AS ({_literals("ord, id, title, family, description, supports_self_consistency", [(i, *r) for i, r in enumerate(S.METHOD_ROWS)])})
+SELECT m.*, (SELECT count(*) FROM documents) AS planned FROM m""")
+def method_relation(spark, d):
+    """All methods, each with the tasks of one track."""
+    n = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("planned"))
+    return S.methods(spark).crossJoin(n)  # one row
+
+
+@query(f"""WITH t AS ({_literals("ord, id, field, title, description", [(i, *r) for i, r in enumerate(S.TRACK_ROWS)])})
+SELECT t.*, (SELECT count(*) FROM labels WHERE CASE t.id WHEN 'canonical' THEN true ELSE quality <> 0 END) AS eligible FROM t""")
+def track_relation(spark, d):
+    """Both tracks, each with the labelled documents that it can ask: all, or those whose flag is set."""
+    n = table(spark, d, "labels").agg(F.count(F.lit(1)).alias("every"), F.count_if(X.truthy_number(F.col("quality"))).alias("flagged"))
+    return S.tracks(spark).crossJoin(n).withColumn("eligible", F.when(F.col("id") == "canonical", F.col("every")).otherwise(F.col("flagged"))).drop("every", "flagged")  # one row
+
+
+@query("""SELECT doc_id, CASE WHEN quality <> 0 AND toxic = 0 THEN 'System ready' ELSE 'Checking system' END AS status, CASE WHEN toxic <> 0 THEN 'Available' ELSE 'Unavailable' END AS availability, CASE WHEN quality = 0 THEN 'SAG' ELSE 'BASE' END AS family
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def status_labels(spark, d):
+    """Labels of status, availability and family; what isn't known is neither ready nor available."""
+    both = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    toxic = X.truthy_number(F.col("toxic"))
+    status = X.is_ready(X.truthy_number(F.col("quality")), ~toxic)
+    family = F.when(F.col("quality") == 0, F.lit("sag")).otherwise(F.lit("baseline"))
+    return both.select("doc_id", X.status_label(status).alias("status"), X.availability_label(toxic).alias("availability"), X.family_label(family).alias("family"))
+
+
+def _documents(spark, d, folder):
+    """Documents of the catalogue over a task file that is made of the table of labels."""
+    labels = table(spark, d, "labels").select((F.col("doc_id") % 11).cast("string").alias("db_id"), F.when(F.col("quality") == 1, "q").alias("NLQ_colloquial"))
+    json_array.write_arrays(labels.coalesce(1), folder)  # the document is of one file
+    (name,) = [r[0] for r in spark.read.format("binaryFile").load(folder).select("path").collect()]
+    return name
+
+
+@query("""WITH t AS (SELECT (doc_id % 11)::VARCHAR AS k, count(*) AS n, count(*) FILTER (quality = 1) AS f FROM labels GROUP BY 1)
+SELECT 10 AS methods, 9 AS baselines, 2 AS tracks, sum(n)::BIGINT AS task_count, count(*) AS database_count, string_agg(k, ',' ORDER BY k) AS databases, sum(f)::BIGINT AS robustness_task_count, min(n) = 110 AND max(n) = 110 AS balanced_110, false AS upstream, true AS matches FROM t""")
+def catalogue_document(spark, d):
+    """The catalogue document of a task file, told column by column."""
+    path = _documents(spark, d, tables.new_path(spark, "catalogue"))
+    doc = O.catalogue(spark, path, official=O.ids_of_family(S.methods(spark)))
+    return doc.select(
+        F.size("methods").alias("methods"), F.size(F.filter("methods", lambda m: m["family"] == "baseline")).alias("baselines"), F.size("tracks").alias("tracks"), "dataset.task_count", "dataset.database_count",
+        F.array_join("dataset.databases", ",").alias("databases"), "dataset.robustness_task_count", "dataset.balanced_110", F.col("upstream.available").alias("upstream"), F.col("upstream.catalog_matches_upstream").alias("matches"),
+    )
+
+
+@query("""SELECT 'degraded' AS status, true AS dataset, false AS upstream, count(*) AS task_count, (SELECT count(DISTINCT event_type) FROM events) AS databases, (SELECT count(DISTINCT (event_type, user_id)) FROM events) AS collections, 4 AS concurrency, false AS configured FROM labels""")
+def health_document(spark, d):
+    """The health document of a task file and an inventory of the kinds of events."""
+    path = _documents(spark, d, tables.new_path(spark, "health"))
+    held = table(spark, d, "events").select(F.col("event_type").alias("db"), F.col("user_id").cast("string").alias("collection")).distinct()
+    doc = O.health(spark, path, load=lambda _: held)
+    return doc.select("status", F.col("dataset.available").alias("dataset"), F.col("upstream.available").alias("upstream"), "dataset.task_count", F.col("databases.database_count").alias("databases"), F.col("databases.collection_count").alias("collections"), "defaults.concurrency", "provider.configured")
