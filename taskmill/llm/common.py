@@ -229,7 +229,8 @@ class Encoder:
     cut, and the pieces encoded on their own, where one of its parts always ends: before a
     space in front of a visible character, behind a run of Latin letters, of digits or of marks,
     and around a single line break. Pieces of many texts are told apart at once, each
-    distinct one is encoded once while the memory holds it; at `most` pieces it starts anew.
+    distinct one is encoded once while the memory holds it. Those seen twice are kept apart from the
+    many that are not; each of the two starts anew at its share of `most` pieces.
     Texts with names of added tokens, and all texts of other tokenizers, are one piece each.
     None of this changes ids.
 
@@ -249,6 +250,7 @@ class Encoder:
         self.size = self.model.get_vocab_size()
         self.most, self.run_bytes = most, run_bytes
         self.memory: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}  # pieces that have been seen once, for a while
         self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values() if not (plain and t.special)]
         form = json.loads(self.model.to_str())
         pre, line = form["pre_tokenizer"] or {}, self.model.encode("\n", add_special_tokens=False).ids
@@ -327,14 +329,25 @@ class Encoder:
         at, edges = pieces.indices.to_numpy(), np.frombuffer(pieces.dictionary.buffers()[1], np.int64)[: len(pieces.dictionary) + 1].tolist()
         raw = pieces.dictionary.buffers()[2].to_pybytes()
         distinct = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        if len(self.memory) > self.most:
-            self.memory.clear()
+        if len(self.memory) > self.most * 4 // 5:
+            self.memory = {}
+        if len(self.once) > self.most * 2 // 5:
+            self.once = {}
         ids = list(map(self.memory.get, distinct))
         new = [i for i, x in enumerate(ids) if x is None]
+        if self.once:
+            for i in new:
+                ids[i] = x = self.once.pop(distinct[i], None)
+                if x is not None:
+                    self.memory[distinct[i]] = x
+            new = [i for i in new if ids[i] is None]
         found = self._learn([distinct[i] for i in new], bool(whole))
+        counts = np.bincount(at, minlength=len(distinct))
         for i in new:
-            ids[i] = found[distinct[i]]
-        self.memory.update((p, x) for p, x in found.items() if len(p) <= 64)
+            p = distinct[i]
+            ids[i] = found[p]
+            if len(p) <= 64:
+                (self.memory if counts[i] > 1 else self.once)[p] = ids[i]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
         each = size[at]
