@@ -108,7 +108,7 @@ def _parser(key: str, flag: str):
     def parse(batches):
         for batch in batches:
             rows = []
-            for file, at, last, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, at, last, raw in (r for lo in range(0, batch.num_rows, 500) for r in zip(*(c.slice(lo, 500).to_pylist() for c in batch.columns), strict=True)):
                 try:
                     # Half of a surrogate pair is no character of a Spark string.
                     rows += [(file, at, name.encode("utf-8", "replace").decode(), is_set, None) for name, is_set in parse_element(raw, at == 0, last, key, flag)]

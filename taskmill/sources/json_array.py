@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Ends a record of the text reader: each object has one, and a record then never ends escaped.
 SEPARATOR = "}"
+#: Bytes that are scanned at once, about.
+RUN_BYTES = 1 << 20
 _STEP = np.zeros(256, np.int8)
 _STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
 _RANGES = "file string, block bigint, records bigint, bytes bigint, flips boolean, outside bigint, inside bigint, outside_commas map<bigint,bigint>, inside_commas map<bigint,bigint>"
@@ -59,8 +61,12 @@ def _streams(batches):
             wide = pa.types.is_large_binary(values.type)
             _, where, data = values.buffers()
             offs = np.frombuffer(where, np.int64 if wide else np.int32)[values.offset : values.offset + hi - lo + 1].astype(np.int64)
-            raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and offs[-1] > offs[0] else np.zeros(0, np.uint8)
-            yield (names.dictionary[int(files[lo])].as_py(), int(blocks[lo])), np.insert(raw, offs[1:] - offs[0], end), hi - lo
+            raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            name, first = (names.dictionary[int(files[lo])].as_py(), int(blocks[lo])), 0
+            while first < hi - lo:  # a few MB at once, one record at least
+                last = max(first + 1, int(np.searchsorted(offs, offs[first] + RUN_BYTES, side="right")) - 1)
+                yield name, np.insert(raw[offs[first] : offs[last]], offs[first + 1 : last + 1] - offs[first], end), last - first
+                first = last
 
 
 def _in_string(stream: np.ndarray) -> np.ndarray:
@@ -94,7 +100,7 @@ def _transitions(batches):
         step, comma = _STEP[stream], stream == 0x2C
         for begun in (0, 1):  # outside, inside of a string
             bare = string == bool(begun)
-            depth = seen[3][begun] + np.cumsum(np.where(bare, step, 0))
+            depth = seen[3][begun] + np.cumsum(np.where(bare, step, 0), dtype=np.int64)
             for level, n in zip(*(x.tolist() for x in np.unique(depth[comma & bare], return_counts=True)), strict=True):
                 seen[4][begun][level] = seen[4][begun].get(level, 0) + n
             seen[3][begun] = int(depth[-1])
@@ -156,7 +162,7 @@ def _cutter(arrays: Arrays, whole: bool):
                 block, first, held = here, True, []
                 string, depth, at = arrays.starts[block]
             inside = _in_string(stream) ^ string
-            levels = depth + np.cumsum(np.where(inside, 0, _STEP[stream]))
+            levels = depth + np.cumsum(np.where(inside, 0, _STEP[stream]), dtype=np.int64)
             string, depth = bool(inside[-1]), int(levels[-1])
             lo = 0
             for hi in np.flatnonzero((stream == 0x2C) & ~inside & (levels == 1)).tolist():
@@ -197,8 +203,8 @@ def write_arrays(df: DataFrame, path: str) -> None:
     def lines(batches):
         ahead = "["
         for batch in batches:
-            if batch.num_rows:
-                rows = batch.column(0).to_pylist()
+            for lo in range(0, batch.num_rows, 500):
+                rows = batch.column(0).slice(lo, 500).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([(ahead if i == 0 else ",") + row for i, row in enumerate(rows)])], ["line"])
                 ahead = ","
         if ahead == ",":
