@@ -286,7 +286,7 @@ def ext_as_of(spark, d):
 
 @query("""WITH s AS (SELECT event_id AS run_id, user_id % 40 AS host, ts AS a, ts + to_seconds((value * value)::BIGINT) AS b FROM events WHERE event_type <> 'error'),
 w AS (SELECT event_id AS window_id, user_id % 40 AS host, ts AS c, ts + to_seconds(power(1.13, (props->>'$.k')::DOUBLE)::BIGINT) AS d FROM events WHERE event_type = 'error')
-SELECT run_id, window_id, (epoch_us(least(b, d)) - epoch_us(greatest(a, c))) // 1000000 AS seconds FROM s JOIN w ON s.host = w.host AND a < d AND c < b""")
+SELECT run_id, window_id, (epoch_us(least(b, d)) - epoch_us(greatest(a, c))) // 1000000 AS seconds FROM s JOIN w ON s.host = w.host AND a < b AND c < d AND a < d AND c < b""")
 def ext_interval_join(spark, d):
     """Runs and the windows in which their host was unavailable, seconds to days long."""
     from taskmill.operators.temporal import interval_join
