@@ -123,12 +123,15 @@ SELECT doc_id, class_id FROM documents d JOIN m ON m.a = md5(coalesce(d.text, ''
 
 
 def op8_sql(templates=license_scan.TEMPLATES, containment: float = license_scan.CONTAINMENT) -> str:
-    quoted = ", ".join(f"({i}, '{label}', {list(dict.fromkeys(text.split()))}, {license_scan.span_of(text)})" for i, (label, text) in enumerate(templates))
+    made = license_scan.compared_templates(templates, containment)
+    quoted = ", ".join(f"({t['id']}, '{t['label']}', {t['n']}, {t['tokens']}, {t['needed']}::VARCHAR[], {t['barred']}::VARCHAR[], {t['pairs']}::VARCHAR[])" for t in made)
     phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()} AS p" for p, label in license_scan.PHRASES.items())
-    # A block is a run of `span` words; the best one begins with one of the template's words.
+    # A block is a run of `span` words that begins with one of the template's words; a pair ends in it.
     windows = " UNION ALL ".join(
-        f"SELECT rid, tid, label, n, count(DISTINCT word) OVER (PARTITION BY rid ORDER BY place RANGE BETWEEN CURRENT ROW AND {license_scan.span_of(text) - 1} FOLLOWING) AS k FROM places WHERE tid = {i}"
-        for i, (_, text) in enumerate(templates)
+        f"SELECT rid, label, n, kind, count(DISTINCT item) FILTER (kind <= 1) OVER w AS k, count(DISTINCT item) FILTER (kind = 1) OVER w AS k_needed, count(DISTINCT item) FILTER (kind = 2) OVER w AS k_barred,"
+        f" count(DISTINCT item) FILTER (kind = 3) OVER p AS k_pairs, {t['need']} AS need, {len(t['needed'])} AS need_needed, {t['need_pairs']} AS need_pairs FROM places WHERE tid = {t['id']}"
+        f" WINDOW w AS (PARTITION BY rid ORDER BY place RANGE BETWEEN CURRENT ROW AND {t['span'] - 1} FOLLOWING), p AS (PARTITION BY rid ORDER BY place RANGE BETWEEN CURRENT ROW AND {max(t['span'] - 2, 0)} FOLLOWING)"
+        for t in made
     )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWERED} AS t FROM documents),
@@ -136,12 +139,15 @@ w AS (SELECT *, CASE WHEN trim(regexp_replace(t, '[^0-9a-z\x{{80}}-\x{{10FFFF}}]
 ph AS ({phrases}),
 hits AS (SELECT rid, label, unnest(list_filter(range(0, len(w)), lambda i: w[(i + 1):(i + len(p))] = p)) AS place FROM w, ph),
 base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY rid),
-tm(tid, label, toks, span) AS (VALUES {quoted}),
-tok AS (SELECT tid, label, len(toks) AS n, unnest(toks) AS word FROM tm),
-each AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w),
-places AS (SELECT rid, tid, label, n, word, place FROM each JOIN tok USING (word)),
+tm(tid, label, n, toks, needed, barred, pairs) AS (VALUES {quoted}),
+tok AS (SELECT tid, label, n, word AS item, CASE WHEN list_contains(needed, word) THEN 1 ELSE 0 END AS kind FROM (SELECT *, unnest(toks) AS word FROM tm)
+    UNION ALL SELECT tid, label, n, unnest(barred), 2 FROM tm UNION ALL SELECT tid, label, n, unnest(pairs), 3 FROM tm),
+each AS (SELECT rid, unnest(w) AS item, generate_subscripts(w, 1) AS place FROM w
+    UNION ALL SELECT rid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), unnest(range(1, len(w))) FROM w),
+places AS (SELECT rid, tid, label, n, item, kind, place FROM each JOIN tok USING (item)),
 blocks AS ({windows}),
-more AS (SELECT rid, list(DISTINCT label) AS labels, max(k / n) AS best FROM blocks WHERE k >= ceil({containment} * n - 1e-9) GROUP BY rid)
+more AS (SELECT rid, list(DISTINCT label) AS labels, max(k / n) AS best FROM blocks
+    WHERE kind <= 1 AND k >= need AND k_needed = need_needed AND k_barred = 0 AND k_pairs >= need_pairs GROUP BY rid)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
