@@ -270,8 +270,8 @@ def write_file(out, runs) -> tuple[int, int]:
     return len(columns[0]), int(columns[2].sum())
 
 
-def read_file(source):
-    """Yield (doc_id or None, start, n_tokens, crc32 of the ids) of a seekable file's documents."""
+def _table(source) -> tuple[np.ndarray, ...]:
+    """Document ids, whether each is known, numbers of ids, and where blocks begin (and the last ends)."""
     size = source.size()
     source.seek(size - _TAIL_BYTES)
     end, length, crc, magic = struct.unpack(_TAIL, source.read(_TAIL_BYTES))
@@ -280,23 +280,40 @@ def read_file(source):
     if magic != b"MIXFILE1" or zlib.crc32(packed) != crc:
         raise ValueError("not a whole token file")
     table = np.frombuffer(zlib.decompress(packed), "<i8")
-    n, n_blocks = int(table[0]), int(table[1])
+    n = int(table[0])
     names, known, sizes, places = np.split(table[2:], [n, 2 * n, 3 * n])
-    places = [*places[:n_blocks].tolist(), end]
-    held, have, block, start = b"", 0, 0, 0
-    for name, ok, count in zip(names.tolist(), known.tolist(), sizes.tolist(), strict=True):
-        left, value = 4 * count, 0
-        while left:
-            if have == len(held):
-                source.seek(places[block])
-                held, have = decode_block(source.read(places[block + 1] - places[block])).astype("<u4").tobytes(), 0
-                block += 1
-            take = min(left, len(held) - have)
-            value = zlib.crc32(held[have : have + take], value)
-            have += take
-            left -= take
-        yield (name if ok else None), start, count, value
-        start += count
+    return names, known, sizes, np.append(places[: int(table[1])], end)
+
+
+def read_block(source, block: int):
+    """Yield (number in the file, doc_id or None, start, n_tokens, ids of it here, crc32 of those)
+    of the documents that have ids in a block of a seekable file; one without any ids stands in
+    the block of its start, or the last. Nothing of other blocks is read but the file's table.
+    """
+    names, known, sizes, places = _table(source)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    total, blocks = int(ends[-1]) if len(ends) else 0, max(1, len(places) - 1)
+    lo, hi = block * BLOCK_IDS, min(total, (block + 1) * BLOCK_IDS)
+    ids = b""
+    if hi > lo:
+        source.seek(int(places[block]))
+        ids = memoryview(decode_block(source.read(int(places[block + 1] - places[block]))).astype("<u4").tobytes())
+    if len(ids) != 4 * (hi - lo):
+        raise ValueError("a token block has not the ids that its file's table tells")
+    mine = (starts < hi) & (ends > lo) | (sizes == 0) & (np.minimum(starts // BLOCK_IDS, blocks - 1) == block)
+    for d in np.flatnonzero(mine).tolist():
+        one, two = max(lo, int(starts[d])), min(hi, int(ends[d]))
+        yield d, int(names[d]) if known[d] else None, int(starts[d]), int(sizes[d]), max(0, two - one), zlib.crc32(ids[4 * (one - lo) : 4 * (two - lo)] if two > one else b"")
+
+
+def joined_crc(one: int, two: int, size: int, zeros: bytes = bytes(1 << 16)) -> int:
+    """crc32 of two parts one after the other by those of each; size: bytes of the second."""
+    none = 0
+    for lo in range(0, size, len(zeros)):
+        some = zeros[: size - lo]
+        one, none = zlib.crc32(some, one), zlib.crc32(some, none)
+    return one ^ none ^ two
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, plain: bool):
@@ -331,15 +348,30 @@ def _writer(folder: str, tokenizer: str, end_id: int, plain: bool):
     return write
 
 
+_DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+_PIECE = f"{_DOCUMENT}, part bigint, number bigint, block bigint, here bigint"
+
+
 def _read(batches):
+    names = [x.split()[0] for x in _PIECE.split(", ")]
     for batch in batches:
         for row in batch.to_pylist():
             fs, inner = open_fs(row["path"])
             with fs.open_input_file(inner) as source:
-                got = list(read_file(source))
+                got = [(name, row["before"] + start, size, crc, row["part"], number, row["block"], here) for number, name, start, size, here, crc in read_block(source, row["block"])]
             for lo in range(0, len(got), 10_000):
-                names, starts, counts, crcs = zip(*got[lo : lo + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([row["before"] + s for s in starts], pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got[lo : lo + 10_000], strict=True)], names)
+
+
+def _stitch(table):
+    """The row of a document whose ids stand in several blocks."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    value = rows[0]["ids_crc32"]
+    for r in rows[1:]:
+        value = joined_crc(value, r["ids_crc32"], 4 * r["here"])
+    if sum(r["here"] for r in rows) != rows[0]["n_tokens"]:
+        raise ValueError("a document lacks ids of a block")
+    return pa.table({c: pa.array([value if c == "ids_crc32" else rows[0][c]], pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")})
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", plain: bool = True) -> DataFrame:
@@ -360,8 +392,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
-    return dealt(manifest).mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files.
+
+    Each block of a file is decoded on its own, so that a long file is read by many tasks. The
+    checksums of documents that blocks part are joined from narrow rows, one for each block.
+    """
+    last = F.greatest(F.ceil(F.col("n_ids") / BLOCK_IDS), F.lit(1)) - 1
+    blocks = manifest.select("part", "path", "before", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("block"))
+    pieces = written(dealt(blocks).mapInArrow(_read, _PIECE), "token-pieces")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    whole = pieces.filter("here = n_tokens").select(*names)
+    return whole.unionByName(pieces.filter("here < n_tokens").groupBy("part", "number").applyInArrow(_stitch, _DOCUMENT))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", plain: bool = True) -> DataFrame:
