@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from taskmill.llm.common import drop_written, free_name, mix, shingles, string_parts, text_of, word_hashes, written
 
 REGISTERS, ROWS, WORDS, SIMILARITY = 64, 4, 5, 0.8
-#: Members of a bucket that one task compares with each other; larger buckets are dealt out.
-BLOCK = 512
+#: Members of a bucket, and bytes of their shingles, that one task compares with each other; what
+#: is larger is crowded.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Further pivots that the members of crowded buckets are verified against.
+PIVOTS = 2
+#: Shingles of more members of crowded buckets than this are common, the others rare.
+COMMON = 32
 #: Shingles of a bucket's members that are looked up at once.
 LOOKUP = 1 << 21
 _KEY_BITS = 48
@@ -183,6 +188,49 @@ def _comparer(similarity: float, rows: int):
     return compare
 
 
+def _lister(batches):
+    """Shingles of members as lists of longs."""
+    for batch in batches:
+        for lo, data, offs in string_parts(batch.column(2)):
+            n = len(offs) - 1
+            keys = pa.ListArray.from_arrays((offs >> 3).astype(np.int32), np.frombuffer(data.tobytes(), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), keys], ["nid", "comp", "keys"])
+
+
+def rated(members: DataFrame, similarity: float) -> DataFrame:
+    """What rare shingles tell of members (nid, comp, set): nid, comp, size, their rare shingles that
+    others have too (rarest first), how many of those to look up, and whether dense or near.
+
+    Let o = 2s / (1 + s) x the size, the least overlap with an equal or larger set at similarity s, and
+    o' = s x the size, that with an equal or smaller one. A set with fewer than o common
+    shingles shares a rare one with any larger set that it is alike to. In order of rarity, and
+    with k = o (or o') less the common ones, at least 1, two alike sets that share a rare
+    shingle share one of all but the last k - 1. Only a dense set (o common ones at least)
+    can be alike without a rare one, to a near one (o' at least). Members that share no shingle are left out.
+    """
+    items = members.select("nid", "comp", "set").mapInArrow(_lister, "nid bigint, comp bigint, keys array<bigint>").select("nid", "comp", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    often = written(items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-often")
+    known = items.join(often, "key").groupBy("nid", "comp", "size").agg(F.count_if(F.col("n") > COMMON).alias("common"), F.sort_array(F.collect_list(F.when(F.col("n") <= COMMON, F.struct("n", "key")))).alias("rare"))
+    least = {"low": 2 * similarity / (1 + similarity), "high": similarity}
+    for role, share in least.items():
+        need = F.ceil(share * F.col("size") - 1e-6) - F.col("common")
+        kept = F.col("size") - F.col("common") - F.greatest(need, F.lit(1)) + 1
+        alone = F.col("size") - F.col("common") - F.size("rare")  # the rarest: no other member has them
+        known = known.withColumn(f"{role}_take", F.greatest(kept - alone, F.lit(0)).cast("int")).withColumn("dense" if role == "low" else "near", need <= 0)
+    return known.withColumn("rare", F.transform("rare", lambda r: r["key"]))
+
+
+def sharing(known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rated() members of different components, of sizes that allow it, that share
+    one of the rare shingles to look up: COMMON members at most have one, whatever their number."""
+
+    def looked_up(role: str) -> DataFrame:
+        return known.select(F.struct("size", "nid").alias(role), F.col("comp").alias(f"{role}_comp"), F.explode(F.slice("rare", F.lit(1), F.col(f"{role}_take"))).alias("key"))
+
+    pairs = looked_up("low").join(looked_up("high"), "key").filter("low_comp != high_comp AND low < high").filter(F.col("low.size") >= similarity * F.col("high.size") - 1e-6)
+    return pairs.select(F.least("low.nid", "high.nid").alias("a"), F.greatest("low.nid", "high.nid").alias("b")).distinct()
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every u of edges (u, v) has one v, which is no u itself."""
     roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
@@ -236,9 +284,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     band of `rows` registers. Within a
     bucket, every member is first verified against the bucket's pivot, the member that shares
     buckets with most others: a row per member and band, whatever the bucket's size. Buckets
-    whose members are then in one component, or that have two members, need no more. In the others, members of
-    different components are all verified with each other by their shingles, in blocks of
-    bounded size, until what is alike is joined. No bucket is capped. Joins of texts and shingles are by shuffle at every size.
+    whose members are then in one component, or that have two members, need no more. In others of up
+    to BLOCK members and BLOCK_BYTES of shingles, members of different components are all verified
+    with each other by one task. Members of larger ones are verified against PIVOTS more
+    pivots; then pairs that share a rare shingle are (see rated); and what could be alike without
+    one, dense and near members, in blocks of bounded size. No bucket is capped and no link
+    of a bucket's members is left out. Joins of texts and shingles are by shuffle at every size.
     What is known of each bucket or class (a narrow row) is a table of its own before it is joined
     to the members, so that adaptive execution can split a hot one over many tasks.
 
@@ -263,7 +314,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     wanted = nodes.select("_tid", "nid").join(entries.select("nid").distinct(), "nid", "left_semi")
     # Copies of a text are one row before they are shuffled.
     texts = rows_in.groupBy("_tid").agg(F.first("_text").alias("_text")).join(written(wanted, "near-wanted").hint("merge"), "_tid")
-    sets = written(texts.select("nid", "_text").mapInArrow(_shingler(words), "nid bigint, set binary"), "near-sets")
+    sets = written(texts.select("nid", "_text").mapInArrow(_shingler(words), "nid bigint, set binary").withColumn("bytes", F.octet_length("set")), "near-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         one, two = sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), sets.select(F.col("nid").alias("b"), F.col("set").alias("y"))
@@ -272,14 +323,47 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     links = verified(stars, "near-links")
     comp = components(links)
-    left = entries.join(comp, entries["nid"] == comp["node"], "left").select("bkey", "nid", F.coalesce("comp", "nid").alias("comp"))
-    open_ = left.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi AND n > 2").select("bkey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    opened = written(left.join(written(open_, "near-open-keys"), "bkey"), "near-open")
-    members = opened.join(nodes.select("nid", "sig"), "nid").join(sets.hint("merge"), "nid")
-    members = members.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("bkey", "nid", "comp", "sig", "set", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
-    more = members.groupBy("bkey", "one", "two").applyInArrow(_comparer(similarity, rows), "a bigint, b bigint")
+
+    def still_open(comp: DataFrame) -> DataFrame:
+        """(bkey, nid, comp, parts) of the buckets whose members are in several components."""
+        left = entries.join(comp, entries["nid"] == comp["node"], "left").select("bkey", "nid", F.coalesce("comp", "nid").alias("comp"))
+        size = left.join(sets.select("nid", "bytes"), "nid").groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        keys = size.filter("lo != hi AND n > 2").select("bkey", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
+        return written(left.join(written(keys, "near-open-keys"), "bkey"), "near-open")
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links of members (bkey, nid, comp, part, one, two, left, right), by blocks."""
+        both = members.join(nodes.select("nid", "sig"), "nid").join(sets.select("nid", "set").hint("merge"), "nid")
+        return both.groupBy("bkey", "one", "two", "left", "right").applyInArrow(_comparer(similarity, rows), "a bigint, b bigint")
+
+    opened = still_open(comp)
+    crowded = opened.filter("parts > 1")
+    for again in range(PIVOTS):
+        if crowded.isEmpty():
+            break
+        pivot = crowded.groupBy("bkey").agg(F.min(F.struct(F.xxhash64("nid", F.lit(again)).alias("h"), "nid", "comp")).alias("p"))
+        pivot = written(pivot.select("bkey", F.col("p.nid").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "near-pivots")
+        pairs = crowded.join(pivot, "bkey").filter("comp != pivot_comp").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
+        comp = written(joined(comp, verified(written(pairs, "near-stars"), "near-links")), "near-comp")
+        opened = still_open(comp)
+        crowded = opened.filter("parts > 1")
+    none = F.lit(0)
+    more = compared(opened.filter("parts = 1").select("bkey", "nid", "comp", none.alias("part"), none.alias("one"), none.alias("two"), none.alias("left"), none.alias("right")))
+    if not crowded.isEmpty():
+        members = crowded.select("nid", "comp").distinct().join(sets.select("nid", "set").hint("merge"), "nid")
+        known = written(rated(members, similarity), "near-rated")
+        more = more.union(verified(written(sharing(known, similarity), "near-sharing"), "near-links"))
+        # Dense members (part 0) against near ones (part 1), a block of either to a task.
+        roles = known.select("nid", F.explode(F.filter(F.array(F.when(F.col("dense"), 0), F.when(F.col("near"), 1)), lambda r: r.isNotNull())).alias("part"))
+        cast = crowded.join(roles, "nid").select("bkey", "nid", "comp", "part", "parts")
+        share = cast.join(sets.select("nid", "bytes"), "nid").groupBy("bkey", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        blocks = share.groupBy("bkey").agg(F.max(F.when(F.col("part") == 0, F.col("blocks"))).alias("lefts"), F.max(F.when(F.col("part") == 1, F.col("blocks"))).alias("rights"))
+        cast = cast.join(written(blocks.filter("lefts IS NOT NULL"), "near-blocks"), "bkey")
+        own = F.pmod(F.xxhash64("nid"), F.when(F.col("part") == 0, F.col("lefts")).otherwise(F.col("rights"))).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("part") == 0, F.col("rights")).otherwise(F.col("lefts")) - 1))
+        cast = cast.withColumn("own", own).withColumn("other", other)
+        left, right = F.when(F.col("part") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("part") == 0, F.col("other")).otherwise(F.col("own"))
+        more = more.union(compared(cast.select("bkey", "nid", "comp", "part", F.lit(0).alias("one"), F.lit(1).alias("two"), left.alias("left"), right.alias("right"))))
     comp = joined(comp, written(more, "near-links2"))
     drop_written(entries, stars, sets, opened)  # the wide tables that only verification reads
 

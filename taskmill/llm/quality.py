@@ -12,6 +12,8 @@ from taskmill.llm.common import LOWER, VISIBLE_BYTES, free_name, mix, string_par
 BITS = 18
 #: Most labelled rows that training uses; those whose ids hash lowest are taken.
 TRAINING_ROWS = 12_000
+#: Features of a labelled text that one row brings to training.
+CHUNK = 1024
 THRESHOLD = 0.3
 
 
@@ -92,17 +94,23 @@ def _featurizer(bits: int):
     return run
 
 
-def _trainer(bits: int, epochs: int):
+def _trainer(bits: int):
     def run(batches):
-        rows = []
+        model, seen, label, held = FTRL(bits), 0, 0, []
+
+        def update():
+            if held:
+                model.update(np.concatenate([at for at, _ in held]), np.concatenate([value for _, value in held]).astype(np.float64), label)
+
         for batch in batches:
-            label, at, value = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            rows += [(int(label[i]), at[i].values.to_numpy(), value[i].values.to_numpy().astype(np.float64)) for i in range(len(label))]
-        model = FTRL(bits)
-        for _ in range(epochs):
-            for label, at, value in rows:
-                model.update(at, value, label)
-        yield pa.RecordBatch.from_pydict({"weights": [model.weights().astype("<f4").tobytes()], "n": [len(rows)]})
+            chunk, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, at, value in zip(range(len(chunk)), batch.column(2), batch.column(3), strict=True):
+                if chunk[i] == 0:
+                    update()
+                    seen, label, held = seen + 1, labels[i], []
+                held.append((at.values.to_numpy().copy(), value.values.to_numpy().copy()))
+        update()
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights().astype("<f4").tobytes()], "n": [seen]})
 
     return run
 
@@ -114,6 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
     seen in order of a hash of their id, so that reruns agree. Null labels and ids are left
     out; of equal ids, one label (the smallest) and one text (of the smallest digest) count.
     Without any row all scores are 0.5.
+
+    Training is one task, which sees the rows once for each epoch, in pieces of CHUNK features that
+    Spark has sorted (and spilt where they don't fit): it holds the model, one batch of pieces and one
+    text's features, however long the labelled texts are together.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("key"), F.col(label_col).cast("int").alias("label")).dropna()
     if held_out:
@@ -124,8 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), text_of(docs).alias("text")).join(sample, "key").select("key", "label", "text")
     seen = rows.select("key", "label", "text").mapInArrow(_featurizer(bits), "key bigint, label int, at array<int>, value array<float>")
     one = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("at", "value").alias("h"), "label", "at", "value")).alias("r"))
-    one = one.select("key", "r.label", "r.at", "r.value").repartition(1).sortWithinPartitions(F.xxhash64("key"), "key").select("label", "at", "value")
-    got = one.mapInArrow(_trainer(bits, epochs), "weights binary, n bigint").collect()
+    one = one.select(F.xxhash64("key").alias("h"), "key", "r.label", "r.at", "r.value")
+    last = F.floor(F.greatest(F.size("at") - 1, F.lit(0)) / CHUNK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.struct(c.alias("chunk"), F.slice("at", c * CHUNK + 1, CHUNK).alias("at"), F.slice("value", c * CHUNK + 1, CHUNK).alias("value")))
+    pieces = one.select("h", "key", "label", F.explode(cut).alias("p")).select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), "h", "key", "label", "p.*")
+    rows = pieces.repartition(1).sortWithinPartitions("epoch", "h", "key", "chunk").select("chunk", "label", "at", "value")
+    got = rows.mapInArrow(_trainer(bits), "weights binary, n bigint").collect()
     return np.frombuffer(got[0]["weights"], "<f4") if got and got[0]["n"] else np.zeros((1 << bits) + 1, np.float32)
 
 
