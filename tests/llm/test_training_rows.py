@@ -1,0 +1,27 @@
+"""Training of the quality classifier from pieces of rows."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from taskmill.llm import quality
+
+
+def test_training_rows_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{x}" for x in rng.integers(0, 30, int(rng.integers(0, 200))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    whole = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert whole.any() and (quality.train(docs, labels) == whole).all()
+    # As many updates as rows in each epoch, in order of the hash of their ids.
+    order = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h", "crc32(CAST(doc_id AS STRING)) % 5 AS fold").filter("fold != 0").orderBy("h", "doc_id").collect()]
+    model = quality.FTRL()
+    text = dict(rows)
+    for _ in range(2):
+        for i in order:
+            raw = text[i].encode()
+            _, at, value = quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            model.update(at, value.astype(np.float32).astype(np.float64), i % 2)
+    assert np.array_equal(model.weights().astype("<f4"), whole)
