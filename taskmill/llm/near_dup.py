@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import drop_written, free_name, mix, shingles, string_parts, text_of, word_hashes, written
+from taskmill.llm.common import drop_written, few, free_name, mix, shingles, string_parts, text_of, word_hashes, written
 
 REGISTERS, ROWS, WORDS, SIMILARITY = 64, 4, 5, 0.8
 #: Members of a bucket, and bytes of their shingles, that one task compares with each other; what
@@ -19,6 +19,8 @@ PIVOTS = 2
 COMMON = 32
 #: Shingles of a bucket's members that are looked up at once.
 LOOKUP = 1 << 21
+#: Rows with signatures, and with shingles that are to be compared, of a task at most, about.
+SIGNED, COMPARED = 1 << 15, 1 << 11
 _KEY_BITS = 48
 
 
@@ -197,7 +199,7 @@ def _lister(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), keys], ["nid", "comp", "keys"])
 
 
-def rated(members: DataFrame, similarity: float) -> DataFrame:
+def rated(members: DataFrame, similarity: float, rows: int | None = None) -> DataFrame:
     """What rare shingles tell of members (nid, comp, set): nid, comp, size, their rare shingles that
     others have too (rarest first), how many of those to look up, and whether dense or near.
 
@@ -206,10 +208,10 @@ def rated(members: DataFrame, similarity: float) -> DataFrame:
     shingles shares a rare one with any larger set that it is alike to. In order of rarity, and
     with k = o (or o') less the common ones, at least 1, two alike sets that share a rare
     shingle share one of all but the last k - 1. Only a dense set (o common ones at least)
-    can be alike without a rare one, to a near one (o' at least). Members that share no shingle are left out.
+    can be alike without a rare one, to a near one (o' at least). Members that share no shingle are left out. rows: the shingles of all members.
     """
     items = members.select("nid", "comp", "set").mapInArrow(_lister, "nid bigint, comp bigint, keys array<bigint>").select("nid", "comp", F.size("keys").alias("size"), F.explode("keys").alias("key"))
-    often = written(items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-often")
+    often = written(items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-often", rows and rows // 2)
     known = items.join(often, "key").groupBy("nid", "comp", "size").agg(F.count_if(F.col("n") > COMMON).alias("common"), F.sort_array(F.collect_list(F.when(F.col("n") <= COMMON, F.struct("n", "key")))).alias("rare"))
     least = {"low": 2 * similarity / (1 + similarity), "high": similarity}
     for role, share in least.items():
@@ -231,40 +233,43 @@ def sharing(known: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("low.nid", "high.nid").alias("a"), F.greatest("low.nid", "high.nid").alias("b")).distinct()
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether every u of edges (u, v) has one v, which is no u itself."""
+def _stars(edges: DataFrame) -> tuple[bool, int]:
+    """Whether every u of edges (u, v) has one v, which is no u itself; the number of edges."""
     roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
     nodes = roles.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return nodes.agg(F.max(F.col("out") + F.when(F.col("out") > 0, F.col("into")).otherwise(0))).first()[0] in (None, 1)
+    most, count = nodes.agg(F.max(F.col("out") + F.when(F.col("out") > 0, F.col("into")).otherwise(0)), F.sum("out")).first()
+    return most in (None, 1), count or 0
 
 
-def components(links: DataFrame, name: str = "parts") -> DataFrame:
+def components(links: DataFrame, name: str = "parts", rows: int | None = None) -> DataFrame:
     """(node, comp) of every node of links (a, b): comp is the smallest node that it reaches.
 
     Alternates large-star and small-star contraction until only stars are left; each round is
-    a written table, so no lineage grows and nothing is gathered on the driver but one number.
+    a written table, so no lineage grows and nothing is gathered on the driver but two numbers.
     What is joined is written first: then Spark may split a node that has most of the edges.
+    rows: the most links that there can be.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
-    while not _stars(edges):
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name, rows)
+    while not (found := _stars(edges))[0]:
+        count = found[1]
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least", 2 * count)
         # One row at most for each edge, so that repeats can wait for the end of the round.
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low", count)
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = written(small, name)
+        edges = written(small, name, 2 * count)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def joined(comp: DataFrame, links: DataFrame, name: str = "parts") -> DataFrame:
+def joined(comp: DataFrame, links: DataFrame, name: str = "parts", rows: int | None = None) -> DataFrame:
     """components() of the links behind comp and of further links together.
 
     Only what the further links join is contracted: its nodes are the components so far.
     """
     for end in ("a", "b"):
         links = links.join(comp.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
-    over = components(links.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")), name)
+    over = components(links.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")), name, rows)
     over = over.select(F.col("node").alias("old"), F.col("comp").alias("new"))
     ours = comp.join(over, comp["comp"] == over["old"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
     return ours.union(over.join(comp, over["old"] == comp["node"], "left_anti").select("old", "new"))
@@ -291,7 +296,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     one, dense and near members, in blocks of bounded size. No bucket is capped and no link
     of a bucket's members is left out. Joins of texts and shingles are by shuffle at every size.
     What is known of each bucket or class (a narrow row) is a table of its own before it is joined
-    to the members, so that adaptive execution can split a hot one over many tasks.
+    to the members, so that adaptive execution can split a hot one over many tasks. The number of rows of docs
+    and that of members of shared buckets bound these tables, and so their files (see written).
 
     Words are runs of letters, digits and characters beyond ASCII, in lower case (A-Z). A
     text of fewer words has one shingle of all its words; a text without words is linked
@@ -299,81 +305,95 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     rows are copies. Other columns don't matter.
     """
     rows_in = docs.select(F.col(id_col).alias("id"), F.md5(text_of(docs)).alias("_tid"), text_of(docs).alias("_text"))
+    total = docs.count()
     signed = rows_in.select("_tid", "_text", "id").drop("id").mapInArrow(_signer(registers, rows, words), "_tid string, sig binary, bands array<bigint>")
     nodes = signed.groupBy("_tid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
+    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "near-nodes", total, SIGNED)
     every = nodes.select("nid", F.explode("bands").alias("bkey"))
-    shared = written(every.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared")
-    entries = written(every.join(shared, "bkey"), "near-buckets")
+    shared = written(every.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared", total * (registers // rows))
+    entries = written(every.join(shared, "bkey"), "near-buckets", total * (registers // rows))
+    most = entries.count()
     degree = entries.groupBy("nid").agg(F.sum("n").alias("degree"))
     ranked = entries.join(degree, "nid").groupBy("bkey").agg(F.max(F.struct("degree", (-F.col("nid")).alias("minus"))).alias("top"))
-    pivots = written(ranked.select("bkey", (-F.col("top.minus")).alias("pivot")), "near-pivots")
+    pivots = written(ranked.select("bkey", (-F.col("top.minus")).alias("pivot")), "near-pivots", most)
     stars = entries.join(pivots, "bkey").filter("nid != pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
-    stars = written(stars, "near-stars")
+    stars = written(stars, "near-stars", most)
 
     wanted = nodes.select("_tid", "nid").join(entries.select("nid").distinct(), "nid", "left_semi")
     # Copies of a text are one row before they are shuffled.
-    texts = rows_in.groupBy("_tid").agg(F.first("_text").alias("_text")).join(written(wanted, "near-wanted").hint("merge"), "_tid")
-    sets = written(texts.select("nid", "_text").mapInArrow(_shingler(words), "nid bigint, set binary").withColumn("bytes", F.octet_length("set")), "near-sets")
+    texts = rows_in.groupBy("_tid").agg(F.first("_text").alias("_text")).join(written(wanted, "near-wanted", most).hint("merge"), "_tid")
+    texts = few(texts.select("nid", "_text"), total, COMPARED)
+    sets = written(texts.mapInArrow(_shingler(words), "nid bigint, set binary").withColumn("bytes", F.octet_length("set")), "near-sets")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, sets: DataFrame, count: int) -> DataFrame:
+        """The alike ones of pairs (a, b); count: the most that pairs or sets can have."""
         one, two = sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), sets.select(F.col("nid").alias("b"), F.col("set").alias("y"))
         both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_verifier(similarity), "a bigint, b bigint"), name)
+        return written(few(both, count, COMPARED).mapInArrow(_verifier(similarity), "a bigint, b bigint"), name)
 
-    links = verified(stars, "near-links")
-    comp = components(links)
+    links = verified(stars, "near-links", sets, most)
+    comp = components(links, rows=most)
 
     def still_open(comp: DataFrame) -> DataFrame:
         """(bkey, nid, comp, parts) of the buckets whose members are in several components."""
         left = entries.join(comp, entries["nid"] == comp["node"], "left").select("bkey", "nid", F.coalesce("comp", "nid").alias("comp"))
         size = left.join(sets.select("nid", "bytes"), "nid").groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
         keys = size.filter("lo != hi AND n > 2").select("bkey", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
-        return written(left.join(written(keys, "near-open-keys"), "bkey"), "near-open")
+        return written(left.join(written(keys, "near-open-keys", most), "bkey"), "near-open", most)
 
     def compared(members: DataFrame) -> DataFrame:
-        """Links of members (bkey, nid, comp, part, one, two, left, right), by blocks."""
-        both = members.join(nodes.select("nid", "sig"), "nid").join(sets.select("nid", "set").hint("merge"), "nid")
-        return both.groupBy("bkey", "one", "two", "left", "right").applyInArrow(_comparer(similarity, rows), "a bigint, b bigint")
+        """Links of members (bkey, nid, comp, sig, set, part, one, two, left, right), by blocks."""
+        return members.groupBy("bkey", "one", "two", "left", "right").applyInArrow(_comparer(similarity, rows), "a bigint, b bigint")
 
     opened = still_open(comp)
     crowded = opened.filter("parts > 1")
+    # What is known of crowded members is a table of its own, so that their steps don't shuffle all sets.
+    ids = written(crowded.select("nid").distinct(), "near-crowd-ids", most)
+    held = ids.count()
+    if held:
+        few_sets = sets.join(ids, "nid", "left_semi").join(nodes.select("nid", "sig").join(ids, "nid", "left_semi"), "nid")
+        few_sets = written(few(few_sets, total, COMPARED), "near-crowd")
     for again in range(PIVOTS):
         if crowded.isEmpty():
             break
         pivot = crowded.groupBy("bkey").agg(F.min(F.struct(F.xxhash64("nid", F.lit(again)).alias("h"), "nid", "comp")).alias("p"))
-        pivot = written(pivot.select("bkey", F.col("p.nid").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "near-pivots")
+        pivot = written(pivot.select("bkey", F.col("p.nid").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "near-pivots", most)
         pairs = crowded.join(pivot, "bkey").filter("comp != pivot_comp").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
-        comp = written(joined(comp, verified(written(pairs, "near-stars"), "near-links")), "near-comp")
+        comp = written(joined(comp, verified(written(pairs, "near-stars", most), "near-links", few_sets, most), rows=most), "near-comp", 2 * most)
         opened = still_open(comp)
         crowded = opened.filter("parts > 1")
     none = F.lit(0)
-    more = compared(opened.filter("parts = 1").select("bkey", "nid", "comp", none.alias("part"), none.alias("one"), none.alias("two"), none.alias("left"), none.alias("right")))
-    if not crowded.isEmpty():
-        members = crowded.select("nid", "comp").distinct().join(sets.select("nid", "set").hint("merge"), "nid")
-        known = written(rated(members, similarity), "near-rated")
-        more = more.union(verified(written(sharing(known, similarity), "near-sharing"), "near-links"))
+    alone = opened.filter("parts = 1").select("bkey", "nid", "comp", none.alias("part"), none.alias("one"), none.alias("two"), none.alias("left"), none.alias("right"))
+    more = few(compared(alone.join(nodes.select("nid", "sig"), "nid").join(sets.select("nid", "set").hint("merge"), "nid")), most, COMPARED)
+    if held and not crowded.isEmpty():
+        members = crowded.select("nid", "comp").distinct().join(few_sets, "nid")
+        count, size = members.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+        members = members.select("nid", "comp", "set")
+        known = written(rated(few(members, held, COMPARED), similarity, size // 8), "near-rated", count, COMPARED)
+        pairs = written(sharing(known, similarity), "near-sharing")
+        more = more.union(verified(pairs, "near-links", few_sets, max(held, pairs.count())))
         # Dense members (part 0) against near ones (part 1), a block of either to a task.
         roles = known.select("nid", F.explode(F.filter(F.array(F.when(F.col("dense"), 0), F.when(F.col("near"), 1)), lambda r: r.isNotNull())).alias("part"))
         cast = crowded.join(roles, "nid").select("bkey", "nid", "comp", "part", "parts")
-        share = cast.join(sets.select("nid", "bytes"), "nid").groupBy("bkey", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        share = cast.join(few_sets.select("nid", "bytes"), "nid").groupBy("bkey", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
         blocks = share.groupBy("bkey").agg(F.max(F.when(F.col("part") == 0, F.col("blocks"))).alias("lefts"), F.max(F.when(F.col("part") == 1, F.col("blocks"))).alias("rights"))
-        cast = cast.join(written(blocks.filter("lefts IS NOT NULL"), "near-blocks"), "bkey")
+        cast = cast.join(written(blocks.filter("lefts IS NOT NULL"), "near-blocks", most), "bkey")
         own = F.pmod(F.xxhash64("nid"), F.when(F.col("part") == 0, F.col("lefts")).otherwise(F.col("rights"))).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.when(F.col("part") == 0, F.col("rights")).otherwise(F.col("lefts")) - 1))
         cast = cast.withColumn("own", own).withColumn("other", other)
         left, right = F.when(F.col("part") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("part") == 0, F.col("other")).otherwise(F.col("own"))
-        more = more.union(compared(cast.select("bkey", "nid", "comp", "part", F.lit(0).alias("one"), F.lit(1).alias("two"), left.alias("left"), right.alias("right"))))
+        cast = cast.select("bkey", "nid", "comp", "part", F.lit(0).alias("one"), F.lit(1).alias("two"), left.alias("left"), right.alias("right"))
+        more = more.union(compared(cast.join(few_sets.select("nid", "sig", "set"), "nid")))
     comp = joined(comp, written(more, "near-links2"))
     drop_written(entries, stars, sets, opened)  # the wide tables that only verification reads
 
     by_text = rows_in.groupBy("_tid").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     named = by_text.join(nodes.select("_tid", "nid"), "_tid").join(comp, F.col("nid") == comp["node"], "left")
-    named = written(named.select("_tid", "first_id", F.coalesce("comp", "nid").alias("comp")), "near-named")
+    named = written(named.select("_tid", "first_id", F.coalesce("comp", "nid").alias("comp")), "near-named", total)
     # The class's first text: the smallest id, ids before null, ties to the smaller digest.
-    first = written(named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f")), "near-first")
+    first = written(named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("_tid").alias("keep"))).alias("f")), "near-first", total)
     classes = named.join(first, "comp").select("_tid", F.col("f.class_id").alias("class_id"), (F.col("f.keep") == F.col("_tid")).alias("keep_text"))
-    classes = written(classes, "near-classes")
+    classes = written(classes, "near-classes", total)
     drop_written(nodes)
     narrow = docs.select(F.col(id_col), F.md5(text_of(docs)).alias("_tid"))
     return narrow.join(classes, "_tid").select(id_col, F.col("_tid").alias("text_id"), "class_id", "keep_text")
