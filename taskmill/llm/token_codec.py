@@ -61,7 +61,7 @@ class Mixture:
         self.count = np.ones(vocabulary, np.int64)
         self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
         self.weights = np.tile(np.array([2, 1, 4, 0], np.int64), 32)
-        self.p1, self.p2 = np.full(lanes, vocabulary, np.int32), np.full(lanes, vocabulary, np.int32)
+        self.p1, self.p2 = np.full(lanes, vocabulary, np.intp), np.full(lanes, vocabulary, np.intp)
         self.low, self.width = np.zeros(vocabulary + 1, np.uint64), np.full(vocabulary + 1, 1 << self.id_bits, np.uint64)
         self.start, self.size = np.zeros(128, np.uint64), np.zeros(128, np.uint64)
         self.missed, self.step, self.renew = [], 0, 0
@@ -93,14 +93,18 @@ class Mixture:
         start <<= np.uint64(self.id_bits)
 
     def predict(self, k: int) -> np.ndarray:
-        """The first slot of each lane's context; guesses in self.a and self.b."""
+        """The first slot of each lane's context; guesses in self.a and self.b.
+
+        What numpy takes for places (h, p1, slots, y) is kept as intp; it would convert other
+        integers at each use.
+        """
         p1 = self.p1[:k]
-        self.h = (p1.view(np.uint32) * np.uint32(0x9E3779B1) + self.p2[:k].view(np.uint32) * np.uint32(0x297A2D39)) >> np.uint32(32 - _HASH_BITS)
+        self.h = (p1 * 0x9E3779B1 + self.p2[:k] * 0x297A2D39) >> (32 - _HASH_BITS) & (1 << _HASH_BITS) - 1
         self.at_two, self.at_one = self.two[self.h], self.one[p1]
         self.a, self.b = self.at_two >> 2, self.at_one >> 2
         context = ((self.at_two & 3) << 5) + ((self.at_one & 3) << 3)
         context += (self.a == self.b).view(np.uint8) << 2
-        return context
+        return context.astype(np.intp)
 
     def learn(self, x: np.ndarray, y: np.ndarray, slot: np.ndarray) -> None:
         """x: the ids; y: the same in order 0, the id behind the last where a guess was right."""
@@ -165,8 +169,8 @@ def encode_block(ids: np.ndarray) -> bytes:
         x = grid[t, :k]
         context = model.predict(k)
         kind = (x != model.a).view(np.uint8) * ((x != model.b).view(np.uint8) + np.uint8(1))
-        slot = context.astype(np.intp) + kind
-        y = np.where(kind == 2, x, np.int32(vocabulary))
+        slot = context + kind
+        y = np.where(kind == 2, x, np.int32(vocabulary)).astype(np.intp)
         size = model.size[slot]
         lo, rg = low[:k], rng[:k]
         r = rg >> _WORD
@@ -199,7 +203,7 @@ def decode_block(block: bytes) -> np.ndarray:
     model = Mixture(vocabulary, lanes, inverse=True)
     most = np.uint64((1 << model.id_bits) - 1)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, np.uint64)
-    nothing = len(words) - 1
+    nothing, start_one, start_two = len(words) - 1, model.start[1:], model.start[2:]
 
     def following(at):
         p = place[at]
@@ -212,16 +216,17 @@ def decode_block(block: bytes) -> np.ndarray:
     grid = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         k = lanes if t < last else lanes - 1
-        context = model.predict(k).astype(np.intp)
+        context = model.predict(k)
         lo, rg, cd = low[:k], rng[:k], code[:k]
         r = rg >> _WORD
         v = np.minimum((cd - lo) // r, _HALF)
-        kind = (v >= model.start[context + 1]).view(np.uint8) + (v >= model.start[context + 2]).view(np.uint8)
+        kind = (v >= start_one[context]).view(np.uint8) + (v >= start_two[context]).view(np.uint8)
         slot = context + kind
         size, start = model.size[slot], model.start[slot]
         other = kind == 2
-        y = np.where(other, model.inverse[np.minimum((v - start) // size, most)].astype(np.int32), np.int32(vocabulary))
-        x = np.where(other, y, np.where(kind == 1, model.b, model.a))
+        rest = model.inverse[np.minimum((v - start) // size, most).view(np.intp)].astype(np.int32)
+        x = np.where(other, rest, np.where(kind == 1, model.b, model.a))
+        y = np.where(other, rest, np.int32(vocabulary)).astype(np.intp)
         lo += r * (start + size * model.low[y])
         np.multiply(r, size * model.width[y], out=rg)
         at, _ = _settle(lo, rg)
