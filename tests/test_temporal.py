@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,46 @@ def test_interval_join(spark, lengths):
     assert temporal.interval_join(spark.createDataFrame(one, kind).limit(0), spark.createDataFrame(two, kind), "k", ("s", "e"), ("s", "e")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "lengths,spread,part_rows,block_rows,n,m",
+    [([1, 5, 60, 3600, 10**6], 5000, 40, 1000, 150, 60), ([1 << k for k in range(20)], 5000, 7, 5, 30, 150), ([10**5], 50, 7, 5, 150, 60), ([1, 2], 1, 40, 16, 60, 150), ([1 << k for k in range(20)], 500, 1, 1, 60, 40)],
+)
+def test_interval_join_in_parts(spark, lengths, spread, part_rows, block_rows, n, m):
+    """Keys cut at quantiles, parts merged for long spans and cut into blocks, of times that are mostly equal too."""
+    made = random.Random(7)
+
+    def rows(n):
+        out = [(made.choice(["a", "a", "b", "c"]) if i % 20 else "d", T0 + timedelta(seconds=(s := made.randrange(-spread, spread))), T0 + timedelta(seconds=s + made.choice(lengths)), i) for i in range(n)]
+        return out + [(None, T0, T0 + timedelta(days=9), n), ("a", None, T0, n + 1), ("a", T0, T0, n + 2), ("a", T0, T0 - timedelta(1), n + 3), ("a", T0, T0 + timedelta(1), n + 4)] * 2
+
+    kind = "k string, s timestamp, e timestamp, id long"
+    one, two = rows(n), rows(m)
+    out = temporal.interval_join(spark.createDataFrame(one, kind), spark.createDataFrame(two, kind), "k", ("s", "e"), ("s", "e"), part_rows, block_rows)
+    got = Counter((r.a.id, r.b.id) for r in out.collect())
+    assert got == Counter((x[3], y[3]) for x in one for y in two if x[0] and x[0] == y[0] and x[1] and y[1] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
+
+
+def test_interval_join_shuffles_little(spark):
+    """Spans of 30 classes of length, many of them long: few times the bytes of shuffling both sides once."""
+    span = lambda n, seed: spark.range(n).select((F.xxhash64("id", F.lit(seed)) % 3).alias("k"), F.timestamp_micros(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10**11))).alias("s"), "id").withColumn("e", F.timestamp_micros(F.unix_micros("s") + F.pow(2, 5 + F.col("id") % 30).cast("long")))
+    one, two = span(20_000, 1), span(5_000, 5)
+
+    def shuffled(df):
+        dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+        files = lambda: {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+        before = files()
+        df.write.format("noop").mode("overwrite").save()
+        return sum(size for f, size in files().items() if f not in before)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = shuffled(one.repartition(4, "k")) + shuffled(two.repartition(4, "k"))
+        assert shuffled(temporal.interval_join(one, two, "k", ("s", "e"), ("s", "e"))) < 4 * once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_order_of_a_million(spark):
     n = 1_000_000
     a = spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("t"), F.col("id") * 7 % 1000).alias("id"))
